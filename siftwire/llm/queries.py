@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, toxicity
+from siftwire.llm import bpe, ngram_join, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_toxicity": op1_toxicity, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
