@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 
 from siftwire.llm import shingles
 from siftwire.llm.components import components
+from siftwire.llm.sized import sized
 from siftwire.session import checkpointed, stored
 
 #: Counters of hashed shingles, whatever the corpus (4 MB); they only set the order of shingles.
 COUNTER_BITS = 20
 _CHUNK = 4096
-#: Above this number of candidate texts they are found by a shuffled join instead of a broadcast of their ids.
-BROADCAST_IDS = 1_000_000
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -101,8 +100,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(set_key, members) of the classes in ``wanted`` (set_key, doc_id), recomputed from their texts."""
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = sized(wanted.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

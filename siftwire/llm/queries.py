@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, ngram_join, toxicity
+from siftwire.llm import bpe, ngram_join, quality, toxicity
+from siftwire.llm.sized import sized
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return quality.assess(docs, docs.join(sized(trusted), "doc_id", "left_semi")).drop("text")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,7 +44,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
+    return {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
