@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, ngram_join, quality, toxicity
+from siftwire.llm import bpe, license_scan, ngram_join, quality, toxicity
 from siftwire.llm.sized import sized
 
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, docs.join(sized(trusted), "doc_id", "left_semi")).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,7 +48,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
+    return {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op5_license_scan": op5_license_scan, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
