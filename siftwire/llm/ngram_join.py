@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwire.llm import shingles
@@ -39,6 +39,8 @@ from siftwire.session import checkpointed, stored
 #: Counters of hashed shingles, whatever the corpus (4 MB); they only set the order of shingles.
 COUNTER_BITS = 20
 _CHUNK = 4096
+#: A shingle counted at least so often is hot: its list may be long and is never brought together in one task.
+HOT = 1000
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -75,7 +77,10 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_key, group_key, prefix) of every row; a task gives each group's prefix once, else null."""
+    """(doc_id, n, set_key, group_key, prefix, cold) of every row; a task gives each group's prefix once, else null.
+
+    ``cold`` shingles of the prefix, its first ones, are counted less than HOT times in the corpus.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,20 +91,22 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 own = shingles.distinct(shingles.shingles(word, width))
                 n = len(own)
                 length = n - (percent * n + 99) // 100 + 1 if n else 0
-                prefix = own[np.argsort(shared.value[_bucket(own)], kind="stable")[:length]]
+                count = shared.value[_bucket(own)]
+                first_ones = np.argsort(count, kind="stable")[:length]
+                prefix, cold = own[first_ones], int(np.count_nonzero(count[first_ones] < HOT))
                 group = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
                 first = n > 0 and group not in seen
                 if first and len(seen) < 2_000_000:
                     seen.add(group)
-                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None))
-            n, key, group, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": key, "group_key": group, "prefix": prefix})
+                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None, cold))
+            n, key, group, prefix, cold = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": key, "group_key": group, "prefix": prefix, "cold": cold})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, members) of the classes in ``wanted`` (set_key, doc_id), recomputed from their texts."""
+    """(set_key, members) of the texts whose id is in ``wanted`` (doc_id), recomputed; equal ids may add more."""
     ids = sized(wanted.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
 
@@ -108,18 +115,43 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             found = [shingles.distinct(shingles.shingles(w, width)) for w in shingles.words(batch["text"])]
             yield pd.DataFrame({"set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "members": [s.view(np.int64) for s in found]})
 
-    made = texts.select("text").mapInPandas(sets, "set_key binary, members array<long>")
-    return made.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    return texts.select("text").mapInPandas(sets, "set_key binary, members array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose Jaccard similarity is at least ``percent``."""
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set keys whose Jaccard similarity is at least ``percent``; only their texts are read again."""
+    pairs = checkpointed(pairs.distinct())
+    asked = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    sets = stored(whole_sets(docs, classes.join(sized(asked), "set_key", "left_semi"), width), "sets")
     both = (
         pairs.join(sets.select(F.col("set_key").alias("a"), F.col("members").alias("left")), "a")
         .join(sets.select(F.col("set_key").alias("b"), F.col("members").alias("right")), "b")
         .select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
     )
-    return both.where(100 * F.col("common") >= percent * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b")
+    return both.where(100 * F.col("common") >= percent * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b").distinct()
+
+
+def candidate_lists(signed: DataFrame) -> DataFrame:
+    """(shingle, group_key, n, at): the groups that meet in a prefix shingle, a row for each group and list.
+
+    Lists of cold shingles are bounded by HOT, so they are told from shingles of one group only within one
+    partition; lists with the same groups become one, with each group's first position in them, which can
+    only let more pairs pass the filters. Hot shingles are taken as lists as they are.
+    """
+    index = signed.where(F.col("prefix").isNotNull()).select("group_key", "n", "cold", F.posexplode("prefix").alias("at", "shingle"))
+    packed = index.where("at < cold").select("shingle", "group_key", (F.col("n") * (1 << 31) + F.col("at")).alias("place"))
+    of_one = Window.partitionBy("shingle")
+    met = packed.select(
+        "group_key",
+        "place",
+        F.min("group_key").over(of_one).alias("low"),
+        F.max("group_key").over(of_one).alias("high"),
+        F.sum(F.xxhash64("group_key") / F.lit(1 << 20)).over(of_one).cast("long").alias("shingle"),
+    ).where("low <> high")
+    cold = met.groupBy("shingle", "group_key").agg(F.min("place").alias("place"))
+    cold = cold.select("shingle", "group_key", F.expr(f"place div {1 << 31}").alias("n"), F.expr(f"cast(place % {1 << 31} as int)").alias("at"))
+    hot = index.where("at >= cold").select("shingle", "group_key", "n", "at").distinct()
+    return cold.unionByName(hot)
 
 
 def _may_link(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
@@ -134,16 +166,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
     """
     signed = stored(signatures(docs, width, percent), "signatures")
-    classes = signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id"))
-    index = signed.where(F.col("prefix").isNotNull()).select("group_key", "n", F.posexplode("prefix").alias("at", "shingle"))
-    met = index.groupBy("shingle").agg(F.min("group_key").alias("low"), F.max("group_key").alias("high")).where("low <> high").select("shingle")
-    lists = index.join(met, "shingle").distinct()
+    classes = stored(signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     # Classes with the same prefix and size meet under their group's key.
     own = classes.groupBy("group_key", "n").agg(F.count("*").alias("classes")).where("classes > 1").select("group_key", "n", F.lit(0).alias("at"), F.col("group_key").alias("shingle"))
-    lists = stored(lists.select("shingle", "group_key", "n", "at").unionByName(own.select("shingle", "group_key", "n", "at")), "lists")
-    wanted = classes.join(lists.select("group_key").distinct(), "group_key", "left_semi")
+    lists = candidate_lists(signed).unionByName(own.select("shingle", "group_key", "n", "at"))
     rows = stored(lists.join(classes.select("group_key", "set_key"), "group_key"), "members")
-    sets = stored(whole_sets(docs, wanted, width), "sets")
 
     links = None
     labels = None
@@ -169,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
             once = (F.col("m_component") == F.col("h_component")) | (F.col("set_key") < F.col("m_set_key"))
             met = others.join(mates, "shingle").where((F.col("component") != F.col("m_component")) & once & near)
             pairs = met.select(F.least("set_key", "m_set_key").alias("a"), F.greatest("set_key", "m_set_key").alias("b"))
-        new = checkpointed(_verified(pairs.distinct(), sets, percent))
+        new = checkpointed(_verified(docs, pairs, classes, width, percent))
         links = new if links is None else links.unionByName(new)
         labels = checkpointed(components(links, "a", "b"))
 

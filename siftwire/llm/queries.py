@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, license_scan, ngram_join, quality, toxicity
+from siftwire.llm import bpe, license_scan, ngram_join, quality, secret_scan, toxicity
 from siftwire.llm.sized import sized
 
 
@@ -21,6 +21,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.forest_sql(secret_scan.labelled_findings(spark))
+    scanned = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), forest)
+    best = F.array_max(F.transform(F.concat("secrets", "rejected"), lambda f: f["score"]))
+    return scanned.select(
+        "doc_id",
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.size("rejected").cast("long").alias("n_rejected"),
+        F.array_join(F.transform("secrets", lambda f: F.concat_ws("-", f["start"].cast("string"), (f["start"] + f["length"]).cast("string"))), ",").alias("spans"),
+        F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
@@ -48,7 +61,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality_rules": op4_quality_rules, "op5_license_scan": op5_license_scan, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
+    return {"op1_toxicity": op1_toxicity, "op2_secret_scan": op2_secret_scan, "op4_quality_rules": op4_quality_rules, "op5_license_scan": op5_license_scan, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
