@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, license_scan, mixing, ngram_join, quality, secret_scan, toxicity
+from siftwire.llm import bpe, embed_dedup, license_scan, mixing, ngram_join, quality, secret_scan, toxicity
 from siftwire.llm.sized import sized
 
 
@@ -64,6 +64,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,8 +84,24 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_secret_scan": op2_secret_scan, "op4_quality_rules": op4_quality_rules, "op5_license_scan": op5_license_scan, "op6_source_mixing": op6_source_mixing, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_secret_scan": op2_secret_scan,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_license_scan": op5_license_scan,
+        "op6_source_mixing": op6_source_mixing,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_ngram_join": op9_ngram_join,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
