@@ -39,6 +39,8 @@ from siftwire.session import checkpointed, stored
 #: Counters of hashed shingles, whatever the corpus (4 MB); they only set the order of shingles.
 COUNTER_BITS = 20
 _CHUNK = 4096
+#: Two sets have no more in common than the sum over the parts of the hash range of their smaller counts.
+SKETCH_BITS = 6
 #: A shingle counted at least so often is hot: its list may be long and is never brought together in one task.
 HOT = 1000
 
@@ -77,16 +79,17 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_key, group_key, prefix, cold) of every row; a task gives each group's prefix once, else null.
+    """(doc_id, n, set_key, group_key, prefix, cold, sketch) of every row; a task gives each group's prefix once, else null.
 
     ``cold`` shingles of the prefix, its first ones, are counted less than HOT times in the corpus.
+    ``sketch`` has the number of the set's shingles in each of 2 ** SKETCH_BITS parts of the hash range.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for word in shingles.words(batch["text"]):
                 own = shingles.distinct(shingles.shingles(word, width))
                 n = len(own)
@@ -98,11 +101,13 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 first = n > 0 and group not in seen
                 if first and len(seen) < 2_000_000:
                     seen.add(group)
-                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None, cold))
-            n, key, group, prefix, cold = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": key, "group_key": group, "prefix": prefix, "cold": cold})
+                parts = np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                sketch = parts.astype(np.int16) if n and parts.max() < 1 << 15 else None
+                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None, cold, sketch))
+            n, key, group, prefix, cold, sketch = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": key, "group_key": group, "prefix": prefix, "cold": cold, "sketch": sketch})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int")
+    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int, sketch array<short>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -120,7 +125,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose Jaccard similarity is at least ``percent``; only their texts are read again."""
-    pairs = checkpointed(pairs.distinct())
+    of = lambda name: classes.select(F.col("set_key").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    may = F.coalesce((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
+    pairs = checkpointed(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"))
     asked = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
     sets = stored(whole_sets(docs, classes.join(sized(asked), "set_key", "left_semi"), width), "sets")
     both = (
@@ -160,13 +168,13 @@ def _may_link(n: Column, at: Column, other_n: Column, other_at: Column, percent:
     return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & (1 + F.least(n - at - 1, other_n - other_at - 1) >= need)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
     """
     signed = stored(signatures(docs, width, percent), "signatures")
-    classes = stored(signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = stored(signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
     # Classes with the same prefix and size meet under their group's key.
     own = classes.groupBy("group_key", "n").agg(F.count("*").alias("classes")).where("classes > 1").select("group_key", "n", F.lit(0).alias("at"), F.col("group_key").alias("shingle"))
     lists = candidate_lists(signed).unionByName(own.select("shingle", "group_key", "n", "at"))
@@ -177,8 +185,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     for turn in range(star_rounds + 1):
         placed = rows if labels is None else rows.join(labels, F.col("set_key") == F.col("node"), "left").drop("node")
         placed = placed.withColumn("component", F.coalesce("component", "set_key") if labels is not None else F.col("set_key"))
-        # One member of each list by a seeded hash; lists that are one component by now are done.
-        lead = F.struct(F.xxhash64(F.lit(turn), "set_key").alias("draw"), *(F.col(c) for c in ("set_key", "component", "n", "at")))
+        # The member with the fewest rarer shingles, an original among its copies; then by a seeded hash.
+        # Lists that are one component by now are done.
+        draw = F.xxhash64(F.lit(turn), "set_key")
+        lead = F.struct(F.struct(F.when(F.lit(turn == 0), F.col("at")).otherwise(0), draw).alias("draw"), *(F.col(c) for c in ("set_key", "component", "n", "at")))
         heads = (
             placed.groupBy("shingle")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, embed_dedup, license_scan, mixing, ngram_join, quality, secret_scan, toxicity
+from siftwire.llm import bpe, chat_format, embed_dedup, html_extract, license_scan, mixing, ngram_join, quality, secret_scan, toxicity
 from siftwire.llm.sized import sized
 
 
@@ -68,6 +68,18 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    calls, results = chat_format.exchanges(turns)
+    linked = chat_format.link(calls, results, chat_format.schema_rows(spark, chat_format.REPLY_SCHEMA))
+    return linked.select("conv_id", "turn", "call_id", "place", "status", F.array_join("errors", ";").alias("errors"), F.sha2("json", 256).alias("json_sha256"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.fit(spark)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,12 +106,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_secret_scan": op2_secret_scan,
+        "op3_chat_format": op3_chat_format,
         "op4_quality_rules": op4_quality_rules,
         "op5_license_scan": op5_license_scan,
         "op6_source_mixing": op6_source_mixing,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_ngram_join": op9_ngram_join,
+        "op10_html_extract": op10_html_extract,
         "pipeline": pipeline,
     }
 
