@@ -88,8 +88,7 @@ def similar_text(a: str, b: str) -> int:
     return total
 
 
-@F.pandas_udf("double")
-def similarity(org: pd.Series, name: pd.Series) -> pd.Series:
+def _similarities(org: pd.Series, name: pd.Series) -> pd.Series:
     """Of normalised names, 0 to 1; the order of the two matters."""
 
     def one(a: str, b: str) -> float:
@@ -100,6 +99,10 @@ def similarity(org: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(org, name, strict=True)], dtype=float)
 
 
+def similarity(org: Column | str, name: Column | str) -> Column:
+    return F.pandas_udf(_similarities, "double")(org, name)
+
+
 def ner_best(entities: DataFrame, publishers: DataFrame) -> DataFrame:
     """(seq, best, n, ids, first_id) for items with entities (seq, orgs): the publishers with the best similarity.
 
