@@ -12,6 +12,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from siftwire.session import local_session
 
-    session = local_session(4, "tests")
+    session = local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
