@@ -7,10 +7,11 @@ The method is a grouped prefix join.
 2.  Every document gives the size of its set, a 128-bit key of the set, and its prefix in that order. Equal
     sets are one class; classes with the same size and prefix are one group.
 3.  Groups that share a prefix shingle are candidates, by size and by the position of the shingle. Classes
-    of candidate groups are expanded and verified on their whole sets.
+    of candidate groups are expanded and verified on their whole sets. Before that, small sketches bound the
+    overlap from above, so that only the texts of pairs that may link are read again.
 
 Only connectivity is asked of large groups of copies, so a list of groups that share a shingle is first
-compared with one of its members, the components of the links found are taken, and only pairs of members
+compared with one of its members, the one with the fewest rarer shingles, the components of the links found are taken, and only pairs of members
 in different components are compared after that. No link between components is lost, and the pairs within
 a group of copies are never all made.
 
