@@ -92,7 +92,7 @@ def template_index(docs: DataFrame, templates: Mapping[str, list[str]], containm
     vocabulary = sorted({t for _, tokens in sets for t in tokens})
     asked = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
     worded = docs.select(words(ascii_lower(F.col("text"))).alias("words"))
-    count = {r["token"]: r["count"] for r in worded.select(F.explode("words").alias("token")).join(asked, "token").groupBy("token").count().collect()}
+    count = {r["token"]: r["count"] for r in worded.select(F.explode_outer("words").alias("token")).join(asked, "token").groupBy("token").count().collect()}
     rows = []
     for number, (label, tokens) in enumerate(sets):
         if not tokens:
@@ -141,9 +141,9 @@ def template_labels(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLA
     lowered = docs.select(ascii_lower(F.col("text")).alias("text"))
     # Lines, and paragraphs of more than one line.
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.contains(x, F.lit("\n")))
-    blocks = lowered.select(text_key("text").alias("text_key"), F.explode(F.concat(F.split("text", "\n"), paragraphs)).alias("block"))
+    blocks = lowered.select(text_key("text").alias("text_key"), F.explode_outer(F.concat(F.split("text", "\n"), paragraphs)).alias("block"))
     tokens = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens"))
-    met = tokens.select("text_key", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
+    met = tokens.select("text_key", "tokens", F.explode_outer("tokens").alias("token")).join(F.broadcast(index), "token")
     common = F.size(F.array_intersect("tokens", "template"))
     # The shared token may not be the first shared one, but for the first one both filters hold.
     passed = met.where((F.size("tokens") >= F.col("needed")) & (F.col("left") >= F.col("needed")) & (common >= F.col("needed")))
