@@ -12,31 +12,36 @@ names are replaced, all others pass through. ``redact`` replaces every occurrenc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Shapes of provider keys, then the names that stand before an assigned secret.
+# Shapes of provider keys, then the names that stand before an assigned secret. Only formats of one
+# fixed length have an upper bound. Repeated groups are possessive: Java's other ones recurse, and overflow on long values.
 KEY_SHAPES = [
     r"AKIA[0-9A-Z]{16}",
     r"ASIA[0-9A-Z]{16}",
-    r"gh[pousr]_[A-Za-z0-9]{36}",
-    r"xox[abpr]-[A-Za-z0-9-]{20,72}",
-    r"sk_live_[A-Za-z0-9]{24}",
+    r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    r"xox[abpr]-[A-Za-z0-9-]{20,}+",
+    r"sk_live_[A-Za-z0-9]{24,}+",
     r"AIza[0-9A-Za-z_-]{35}",
-    r"eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,800}\.[A-Za-z0-9_-]{10,400}",
+    r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
 ]
+#: A private key up to its END line; without one, its header and the long runs that follow.
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{20,}+)++)"
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret"
 
-#: The value of an assignment is at most so long; a longer run of its characters is no candidate.
-LONGEST = 200
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 40
-ASSIGNED = rf"(?i:\b[a-z0-9_.-]{{0,40}}(?:{NAMES})[\"']?[ \t]{{0,3}}[:=]{{1,2}}[ \t]{{0,3}})[\"']?[A-Za-z0-9+/=_.~!@#$%^&*-]{{8,{LONGEST}}}(?![A-Za-z0-9+/=_.~!@#$%^&*-])"
-CANDIDATE = rf"(?<![A-Za-z0-9])(?:{'|'.join(KEY_SHAPES)})(?![A-Za-z0-9])|{ASSIGNED}"
+ASSIGN = rf"(?:{NAMES})[\"']?[ \t]*+[:=]{{1,2}}[ \t]*+"
+#: A name may have more before it than the 40 characters that the match takes along.
+ASSIGNED = rf"(?i:(?:\b[a-z0-9_.-]{{0,40}})?{ASSIGN})[\"']?(?!-----BEGIN )[A-Za-z0-9+/=_.~!@#$%^&*-]{{8,}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9])(?:{'|'.join(KEY_SHAPES)})(?![A-Za-z0-9])|{KEY_BLOCK}|{ASSIGNED}"
 #: What stands before the value in a match.
-BEFORE = rf"^(?i:[a-z0-9_.-]{{0,40}}(?:{NAMES})[\"']?[ \t]{{0,3}}[:=]{{1,2}}[ \t]{{0,3}})[\"']?"
+BEFORE = rf"^(?i:[a-z0-9_.-]{{0,40}}{ASSIGN})[\"']?"
 
 # Words that placeholders, examples and code are made of.
 DICTIONARY = [
@@ -73,17 +78,17 @@ def features(value: Column, near: Column, path: Column) -> dict[str, Column]:
         "lowers": _count(value, "[a-z]") / length,
         "others": _count(value, "[^A-Za-z0-9]") / length,
         "changes": _count(value, change) / length,
-        "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / length,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double") / F.least(length, F.lit(64.0)),
         "repeats": _count(value, r"(.)(?=\1)") / length,
         "dictionary": 1 - uncovered / length,
         "longest_word": F.coalesce(F.array_max(F.transform(F.split(lowered, "[^a-z]+"), lambda w: F.length(w))), F.lit(0)).cast("double"),
         "vowel_runs": _count(lowered, "[bcdfghjklmnpqrstvwxz][aeiouy]") / length,
-        "key_shape": F.when(value.rlike(f"^(?:{'|'.join(KEY_SHAPES)})$"), 1.0).otherwise(0.0),
+        "key_shape": F.when(value.rlike(f"^(?:{'|'.join([*KEY_SHAPES, KEY_BLOCK])})$"), 1.0).otherwise(0.0),
         "quoted": F.when(near.rlike("[\"']"), 1.0).otherwise(0.0),
         "harmless_near": F.when(near.rlike(rf"(?i:\b(?:{HARMLESS})\b)(?!\.(?:com|net|org)\b)"), 1.0).otherwise(0.0),
         "name_near": F.when(near.rlike(f"(?i:{NAMES})"), 1.0).otherwise(0.0),
         "harmless_path": F.when(F.coalesce(path, F.lit("")).rlike(f"(?i:{HARMLESS_PATH})"), 1.0).otherwise(0.0),
-        "call_like": F.when(value.rlike(r"^[a-z]+(?:[._][a-zA-Z]+)+$|\$|^\*+$|^<|\{"), 1.0).otherwise(0.0),
+        "call_like": F.when(value.rlike(r"^[a-z]++(?:[._][a-zA-Z]++)++$|\$|^\*+$|^<|\{"), 1.0).otherwise(0.0),
     }
 
 
@@ -92,7 +97,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
 
     Half are secrets: random keys in the shapes of providers, hexadecimal, base64 or mixed values. Half are
     false positives: placeholders, names and calls of code, masked values, and random values beside words
-    that make them checksums, commits or examples. ``rows`` bounds the training set.
+    that make them checksums, commits or examples. Some of both are long, up to 16,000 characters: hexadecimal
+    and base64 runs, tokens and private keys, and repeated placeholders. ``rows`` bounds the training set.
     """
     draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
     noise = lambda k: F.concat(F.sha2(F.concat("id", F.lit(f"a{k}")), 256), F.sha2(F.concat("id", F.lit(f"b{k}")), 256))
@@ -130,11 +136,23 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         hexed,
         mixed,
     )
+    size = F.floor(F.pow(F.lit(2.0), 6 + draw(29, 800) / 100)).cast("int")
+    long_hex = F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(size / 64).cast("int")), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), ""), F.lit(1), size)
+    long_base64 = F.regexp_replace(F.base64(F.unhex(F.concat(long_hex, F.when(size % 2 == 1, "0").otherwise("")))), r"\s", "")
+    url = F.translate(F.regexp_replace(long_base64, "=", ""), "+/", "-_")
+    part = F.concat(F.lit("eyJ"), F.left(url, F.lit(20)))
+    block = lambda body: F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), body, F.lit("\n-----END PRIVATE KEY-----"))
+    long_secret = [long_hex, long_base64, F.concat_ws(".", part, url, F.left(url, F.lit(43))), F.concat(F.lit("sk_live_"), F.regexp_replace(url, "[-_]", "")), block(long_base64)]
+    filler = [F.repeat(pick(17, "x", "*", "0", "A", "1"), size), F.repeat(F.concat(word(13), F.lit("_")), F.ceil(size / 8).cast("int")), F.repeat(F.concat(word(13), F.lit("."), word(14), F.lit(".")), F.ceil(size / 12).cast("int"))]
+    long_harmless = [*filler, block(F.repeat(F.lit("x"), size)), block(filler[1])]
+    choose = lambda k, of: reduce(lambda rest, x: F.when(draw(k, len(of)) == x[0], x[1]).otherwise(rest), enumerate(of[1:], 1), of[0])
+    is_long = draw(30, 8) == 0
     name = pick(21, "password=", "token = \"", "secret: ", "api_key='", "client_secret = ", "")
     about = F.concat(F.concat_ws(" ", spelled(lower, 22, draw(23, 8) + 2), spelled(lower, 24, draw(25, 8) + 2)), F.lit(" "))
     bad = F.concat(pick(26, "commit ", "checksum ", "example ", "sample ", "sha256 digest ", "placeholder "), name)
     label = F.pmod("id", F.lit(2)).cast("double")
-    random_value = draw(12, 10) >= 8
+    random_value = ~is_long & (draw(12, 10) >= 8)
+    secret, harmless = F.when(is_long, choose(31, long_secret)).otherwise(secret), F.when(is_long, choose(31, long_harmless)).otherwise(harmless)
     return spark.range(0, rows, 1, 4).select(
         F.when(label == 1, secret).otherwise(harmless).alias("value"),
         F.concat(about, F.when((label == 0) & random_value, bad).when((label == 0) & (draw(27, 3) == 0), bad).otherwise(name)).alias("near"),
