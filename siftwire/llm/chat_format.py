@@ -14,8 +14,11 @@ Only DataFrame functions are used.
 
 Defined results: rows with a null conversation or call id link with nothing and are kept. If an id is used by
 several calls of a conversation, the first by turn and number is the call, the others are "duplicate"; of
-several results the first counts. Arguments that are null or no JSON object are "not an object". A result
-without a call is "orphan", a call without a result "open". Empty tables give empty results.
+several results the first counts. Arguments that are null or no JSON object are "not an object". An argument
+has the type of its JSON value, whatever its text looks like: "2" is a string, and null is of type "null" only.
+An integer is a number written without fraction and exponent. A schema row whose type is null, or none of
+JSON's, takes every value. A result without a call is "orphan", a call without a result "open". Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -66,17 +69,21 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     known = calls.join(sized(rules), "tool", "left")
     value = F.try_parse_json("arguments")
     given = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
-    # Types and texts of the top-level arguments.
+    # Texts and types of the top-level arguments.
     fields = F.from_json("arguments", "map<string,string>")
+    typed = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
 
     def problems(rule: Column) -> Column:
-        raw = F.try_element_at(fields, rule["argument"])
+        raw, kind = F.try_element_at(fields, rule["argument"]), F.try_element_at(typed, rule["argument"])
+        number = ~(kind.isin("STRING", "BOOLEAN", "VOID") | kind.startswith("ARRAY<") | kind.startswith("OBJECT<"))
         right = (
-            F.when(rule["type"] == "integer", raw.rlike(r"^-?(?:0|[1-9]\d*)$"))
-            .when(rule["type"] == "number", raw.rlike(r"^-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$"))
-            .when(rule["type"] == "boolean", raw.isin("true", "false"))
-            .when(rule["type"] == "array", raw.startswith("["))
-            .when(rule["type"] == "object", raw.startswith("{"))
+            F.when(rule["type"] == "string", kind == "STRING")
+            .when(rule["type"] == "integer", number & raw.rlike(r"^-?(?:0|[1-9]\d*)$"))
+            .when(rule["type"] == "number", number)
+            .when(rule["type"] == "boolean", kind == "BOOLEAN")
+            .when(rule["type"] == "null", kind == "VOID")
+            .when(rule["type"] == "array", kind.startswith("ARRAY<"))
+            .when(rule["type"] == "object", kind.startswith("OBJECT<"))
             .otherwise(F.lit(True))
         )
         there = F.array_contains(given, rule["argument"])

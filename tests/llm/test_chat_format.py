@@ -54,3 +54,19 @@ def test_plain_turns(spark):
 
 def test_empty(spark):
     assert linked(spark, [], []) == []
+
+
+def test_types_are_those_of_the_json_values(spark):
+    kinds = ["string", "integer", "number", "boolean", "null", "array", "object", None]
+    values = {
+        '"x"': {"string"}, '"2"': {"string"}, '"true"': {"string"}, '"[x"': {"string"}, '"{}"': {"string"}, '"null"': {"string"}, '""': {"string"},
+        "5": {"integer", "number"}, "-7": {"integer", "number"}, "123456789012345678901234567890": {"integer", "number"}, "2.5": {"number"}, "2.0": {"number"}, "1e3": {"number"},
+        "true": {"boolean"}, "false": {"boolean"}, "null": {"null"}, "[]": {"array"}, "[1]": {"array"}, "{}": {"object"}, '{"a":[1]}': {"object"},
+    }
+    rules = chat.schema_rows(spark, [("set", f"a-{k}", k, True, None) for k in kinds])
+    calls = [(i, "set", "{" + ", ".join(f'"a-{k}": {v}' for k in kinds) + "}") for i, v in enumerate(values)]
+    got = {r["id"]: r["errors"] for r in chat.validated(spark.createDataFrame(calls, "id int, tool string, arguments string"), rules).collect()}
+    for i, (value, right) in enumerate(values.items()):
+        assert got[i] == sorted(f"type a-{k}" for k in kinds if k not in right | {None}), value
+    first = linked(spark, [(1, 0, 0, "b", "get", '{"days": "2", "unit": "k", "more": 1}', None)], [])[0]
+    assert first["errors"] == ["choice unit", "missing city", "type days", "unknown more"]
