@@ -64,3 +64,21 @@ def test_planted_lines_get_their_own_label(spark):
 
 def test_empty_table(spark):
     assert scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_block_that_states_both_gets_both_labels(spark):
+    by, nc, sa = "Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"
+    long = "This work is licensed under a Creative Commons Attribution{} 4.0 International License".format
+    pad, cc = "lorem ipsum " * 500, {"by": "cc-by-4.0", "nc": "cc-by-nc-4.0", "sa": "cc-by-sa-4.0"}
+    texts = [
+        (f"{by}. {nc}.", "by nc"), (f"{nc}. {by}.", "by nc"), (f"{by} and then {sa}", "by sa"), (f"{nc}, {sa}, {by}", "by nc sa"),
+        (f"{pad}{by} {pad}{nc} {pad}", "by nc"), (f"{pad}{nc} {pad}{by} {pad}", "by nc"), (f"x {by}\ny {nc}\nend", "by nc"), (f"{by} or CC BY-NC 4.0", "by nc"),
+        (f"{long('')}. {long('-NonCommercial')}.", "by nc"), (f"{long('-ShareAlike')}. {long('')}.", "by sa"),
+        (nc, "nc"), (f"{nc}. {nc}.", "nc"), (f"{nc}. {sa}.", "nc sa"), (f"{pad}{sa} {pad}", "sa"), (f"{long('-NonCommercial')} {long('-ShareAlike')}", "nc sa"), (by, "by"),
+    ]
+    docs = spark.createDataFrame([(i, t, "") for i, (t, _) in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: [x for x in r["labels"].split(",") if x != "cc-by"] for r in scan.scan(docs, phrases={"cc by": "cc-by"}).collect()}
+    for i, (text, want) in enumerate(texts):
+        assert got[i] == sorted(cc[k] for k in want.split()), text[-90:]
+    alone = scan.scan(spark.createDataFrame([(1, by, "")], SCHEMA), containment=0.6).first()
+    assert "cc-by-4.0" in alone["labels"].split(",")
