@@ -70,4 +70,8 @@ QUERIES = {
         lambda s, d: B.table(s, d, "benchmark").select("item_id", T.normal_name(F.substring("text", 1, 200)).alias("name")),
         r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(translate(substring(text, 1, 200), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '[^\p{L}\p{N}\s]+', ' ', 'g'), '^the\s+', ''), '\s+', ' ', 'g')) AS name FROM benchmark""",
     ),
+    "name_normalize_whole": (
+        lambda s, d: B.table(s, d, "benchmark").select("item_id", T.normal_name(F.col("text")).alias("name")),
+        r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '[^\p{L}\p{N}\s]+', ' ', 'g'), '^the\s+', ''), '\s+', ' ', 'g')) AS name FROM benchmark""",
+    ),
 }

@@ -32,3 +32,13 @@ def test_query_equals_its_sql(spark, name):
     left = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in got.collect())
     right = sorted(repr(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns)) for r in want.fetchall())
     assert left == right
+
+
+def test_normalize_takes_whole_texts(spark, tmp_path):
+    tail = "word, " * 2000 + "The END"
+    spark.createDataFrame([(1, "The  " + tail)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"{tail}\nsecond line {tail}", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = catalogue.queries()
+    assert queries["name_normalize_whole"](spark, str(tmp_path)).first()["name"] == "word " * 2000 + "the end"
+    item = queries["items_normalize_whole"](spark, str(tmp_path)).first()
+    assert (item["title"], item["body"]) == (tail, f"{tail}\nsecond line {tail}")
