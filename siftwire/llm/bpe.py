@@ -8,6 +8,9 @@ token as a whole keeps its own rank, as byte-level BPE libraries have it. Decodi
 Defined results: a null text counts as empty, an empty text has no ids and decodes to empty bytes; a lone
 surrogate is read as U+FFFD; texts are never cut. The vocabulary must hold all 256 single bytes. The
 vocabulary is read once on the driver and travels with the task (its size is that of the file, some MB).
+
+Memory: texts are taken about a MiB at a time and long ones in runs of words; what a task remembers of words
+it has met is bounded in bytes. Encoding and decoding share one Python worker in ``round_trip``.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a task remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
+from siftwire.llm.memory import portions, released
+
+#: Bytes, about, of words and pre-tokens whose ids a task remembers; emptied when full, results don't depend on it.
+REMEMBERED = 192 << 20
+#: Words or ids that are looked up at once.
+RUN = 1 << 15
 #: A space that ends the text or that other white space follows.
 _OPEN_SPACE = re.compile(r" (?:\s|$)")
 
@@ -89,11 +96,13 @@ class Encoder:
         self.same = self.order == list(range(len(self.order)))
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _pretokens(self, text: str) -> list[str]:
         return [m.group() for m in self.split.finditer(text)] if self.split.groups else self.split.findall(text)
 
     def _learn(self, new: set[str]) -> None:
+        self.held += 250 * len(new) + 5 * sum(map(len, new))
         rest, mapped = [], []
         for piece in new:
             raw = piece.encode("utf-8", "replace")
@@ -106,36 +115,51 @@ class Encoder:
         for piece, ids in zip(rest, self.processor.encode(mapped, num_threads=1) if mapped else [], strict=True):
             self.pieces[piece] = struct.pack(f"<{len(ids)}I", *(ids if self.same else map(self.order.__getitem__, ids)))
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > REMEMBERED or len(self.words) > REMEMBERED:
+    def _make_room(self) -> None:
+        if self.held > REMEMBERED:
             self.pieces.clear()
             self.words.clear()
-        heads, rests = [], []  # pre-tokens to look up one by one, then words with a space before
-        for text in texts:
-            words = [text] if not self.spaced or _OPEN_SPACE.search(text) else text.split(" ")
-            heads.append(self._pretokens(words[0]))
-            rests.append(words[1:])
-        cut = {word: self._pretokens(" " + word) for word in set().union(*rests).difference(self.words)}
-        self._learn(set().union(*heads, *cut.values()).difference(self.pieces))
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
-        for new, found in cut.items():
-            self.words[new] = piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
-        return [b"".join([*map(piece, head), *map(word, rest)]) for head, rest in zip(heads, rests, strict=True)]
-
-
-def _portions(texts: pd.Series, size: int = 1 << 21) -> Iterator[list[str]]:
-    """Texts in order, about ``size`` characters at a time."""
-    part: list[str] = []
-    total = 0
-    for text in texts:
-        part.append(text or "")
-        total += len(part[-1])
-        if total >= size:
-            yield part
-            part, total = [], 0
-    if part:
-        yield part
+            self.held = 0
+
+    def _of_pieces(self, run: list[str]) -> bytes:
+        self._make_room()
+        self._learn(set(run).difference(self.pieces))
+        return b"".join(map(self.pieces.__getitem__, run))
+
+    def _of_words(self, run: list[str]) -> bytes:
+        """Of words with a space before each."""
+        self._make_room()
+        new = set(run).difference(self.words)
+        if new:
+            self.held += 250 * len(new) + 5 * sum(map(len, new))
+            cut = {word: self._pretokens(" " + word) for word in new}
+            self._learn(set().union(*cut.values()).difference(self.pieces))
+            piece = self.pieces.__getitem__
+            for word, found in cut.items():
+                self.words[word] = piece(found[0]) if len(found) == 1 else b"".join(map(piece, found))
+        return b"".join(map(self.words.__getitem__, run))
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        words = [text] if not self.spaced or _OPEN_SPACE.search(text) else text.split(" ")
+        first = self._pretokens(words[0])
+        runs = [self._of_pieces(first[at : at + RUN]) for at in range(0, len(first), RUN)]
+        return b"".join(runs + [self._of_words(words[at : at + RUN]) for at in range(1, len(words), RUN)])
+
+
+class Decoder:
+    """Bytes of ids, by rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = {rank: token for token, rank in ranks.items()}
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        token = self.token.__getitem__
+        return b"".join(b"".join(map(token, ids[at : at + RUN].tolist())) for at in range(0, len(ids), RUN))
+
+
+def _vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool):
+    return docs.sparkSession.sparkContext.broadcast((ranks, pattern, sentencepiece_model(ranks), spaced))
 
 
 def encode(
@@ -145,27 +169,50 @@ def encode(
 
     Give ``spaced=False`` with a pattern for which the word-by-word way of ``Encoder`` does not hold.
     """
-    model = sentencepiece_model(ranks)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, model, spaced))
+    shared = _vocabulary(docs, ranks, pattern, spaced)
 
-    @F.pandas_udf("binary" if packed else "array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary" if packed else "array<int>")
+    @released
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(*shared.value)
-        for texts in batches:
-            own = [x for part in _portions(texts) for x in encoder.packed(part)]
-            yield pd.Series(own if packed else [np.frombuffer(x, "<u4").astype(np.int32) for x in own], dtype=object)
+        for batch in batches:
+            for part in portions(batch, batch):
+                own = [encoder.packed(x) for x in part.to_pylist()]
+                yield pa.array(own, pa.binary()) if packed else pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in own], pa.list_(pa.int32()))
 
     return docs.withColumn(output, ids(F.coalesce(F.col(text), F.lit(""))))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], ids: str = "ids", output: str = "decoded", packed: bool = False) -> DataFrame:
     """Add ``output``: the bytes that the ids stand for. A null list decodes to empty bytes."""
-    shared = rows.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = shared.value.__getitem__
-        for lists in batches:
-            yield pd.Series([b"" if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist() if packed else x)) for x in lists], dtype=object)
-
-    return rows.withColumn(output, decoded(ids))
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("binary")
+    @released
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            for part in portions(batch, batch):
+                own = (np.frombuffer(x, "<u4") for x in part.to_pylist()) if packed else (np.asarray(x, np.int64) for x in part.to_pylist())
+                yield pa.array(map(decoder.joined, own), pa.binary())
+
+    empty = F.lit(b"") if packed else F.array().cast("array<int>")
+    return rows.withColumn(output, decoded(F.coalesce(F.col(ids), empty)))
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", spaced: bool = True) -> DataFrame:
+    """Add ``ids``, packed, and ``decoded``, their bytes: ``encode``, then ``decode``, in one pass and one Python worker."""
+    shared = _vocabulary(docs, ranks, pattern, spaced)
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    @released
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(*shared.value), Decoder(shared.value[0])
+        for batch in batches:
+            for part in portions(batch, batch):
+                ids = [encoder.packed(x) for x in part.to_pylist()]
+                back = [decoder.joined(np.frombuffer(x, "<u4")) for x in ids]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["ids", "decoded"])
+
+    coded = docs.withColumn("__both", both(F.coalesce(F.col(text), F.lit(""))))
+    return coded.withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")

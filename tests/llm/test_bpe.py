@@ -18,7 +18,7 @@ TEXTS = ["", " ", "\n\n\t a", "a  b", "a   b ", "a \nb", "x" * 5000, "😀" * 9,
 @given(st.text(st.one_of(st.sampled_from(" \n\t.,'s1aé"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_ids_are_those_of_the_reference_library(text):
     for encoder in ENCODERS:
-        assert np.frombuffer(encoder.packed([text])[0], "<u4").tolist() == REFERENCE.encode_ordinary(text)
+        assert np.frombuffer(encoder.packed(text), "<u4").tolist() == REFERENCE.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("packed", [True, False])
@@ -30,13 +30,22 @@ def test_round_trip_on_spark(spark, packed):
         assert ids == REFERENCE.encode_ordinary(row["text"] or "") and bytes(row["decoded"]) == (row["text"] or "").encode()
 
 
+def test_one_pass_is_encode_then_decode(spark):
+    rows = [(i, t, b"old") for i, t in enumerate([*TEXTS, None, "one two  three \n" * 200_000, "word " * 600_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
+    for row in bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert np.array_equal(np.frombuffer(row["ids"], "<u4"), REFERENCE.encode_ordinary(row["text"] or "")) and bytes(row["decoded"]) == (row["text"] or "").encode()
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
     assert bpe.decode(bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
 
 
 def test_emptied_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "RUN", 2)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, MODEL, True)
     for text in TEXTS * 2:
-        assert np.frombuffer(encoder.packed([text])[0], "<u4").tolist() == REFERENCE.encode_ordinary(text)
+        assert np.frombuffer(encoder.packed(text), "<u4").tolist() == REFERENCE.encode_ordinary(text)
