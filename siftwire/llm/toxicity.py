@@ -13,11 +13,11 @@ Existing columns of the output names are replaced, all others are passed through
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
@@ -25,8 +25,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwire.llm.memory import portions, released
+
 #: Code points hashed at once; longer texts are taken in overlapping pieces, none is cut off.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,7 +54,7 @@ def _code_points(text: str | None) -> np.ndarray:
     return np.concatenate(([32], np.where(points < 32, 32, points), [32])).astype(np.uint64)
 
 
-def _pieces(texts: pd.Series, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pieces(texts: Iterable[str | None], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Code points of several texts, a zero after each, with the row number of every position."""
     points: list[np.ndarray] = []
     rows: list[np.ndarray] = []
@@ -89,22 +91,31 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
 
 
 def _count_udf(orders: tuple[int, ...], bits: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Presences of each bucket by class: a text counts once for a bucket, however many pieces it is taken in."""
+
+    def added(totals: np.ndarray, texts: list[str | None], toxic: np.ndarray) -> None:
+        before = np.zeros(0, np.int64)  # keys of the text in which the last piece ended
+        for points, rows in _pieces(texts, max(orders)):
+            keys = _distinct(np.concatenate([(rows[: len(b)][ok].astype(np.int64) << bits) | b[ok] for b, ok in _grams(points, orders, bits)]))
+            new = keys[~np.isin(keys, before)] if len(before) else keys
+            np.add.at(totals, (toxic[new >> bits] << bits) | (new & ((1 << bits) - 1)), 1)
+            before = np.concatenate((before[before >> bits == rows[-1]], new[new >> bits == rows[-1]]))
+
+    @released
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(2 << bits, np.int32)
         for batch in batches:
-            toxic = batch["toxic"].to_numpy().astype(np.int64)
-            for points, rows in _pieces(batch["text"], max(orders)):
-                keys = _distinct(np.concatenate([(rows[: len(b)][ok].astype(np.int64) << bits) | b[ok] for b, ok in _grams(points, orders, bits)]))
-                np.add.at(totals, (toxic[keys >> bits] << bits) | (keys & ((1 << bits) - 1)), 1)
+            for part in portions(batch, batch.column("text")):
+                added(totals, part.column("text").to_pylist(), part.column("toxic").to_numpy().astype(np.int64))
         totals = totals.reshape(2, -1)
         found = np.flatnonzero(totals.any(axis=0))
         for part in np.array_split(found, max(1, len(found) // 100_000)):
-            yield pd.DataFrame({"bucket": part, "clean": totals[0, part].astype(np.int64), "toxic": totals[1, part].astype(np.int64)})
+            yield pa.RecordBatch.from_pydict({"bucket": part, "clean": totals[0, part].astype(np.int64), "toxic": totals[1, part].astype(np.int64)})
 
     return count
 
 
-def _hits(texts: pd.Series, slot: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, kept n-gram) pairs of the texts, n-grams numbered from 0."""
     found = []
     for points, rows in _pieces(texts, max(orders)):
@@ -123,13 +134,15 @@ def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _feature_udf(buckets: np.ndarray, orders: tuple[int, ...], bits: int):
-    @F.pandas_udf("array<string>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    @released
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slot = _slots(buckets, bits)
-        for texts in batches:
-            rows, kept = _hits(texts, slot, orders, bits)
-            ends = np.searchsorted(rows, np.arange(len(texts) + 1))
-            yield pd.Series([kept[a:b].astype(str).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], dtype=object)
+        for batch in batches:
+            for part in portions(batch, batch):
+                rows, kept = _hits(part.to_pylist(), slot, orders, bits)
+                ends = np.searchsorted(rows, np.arange(len(part) + 1))
+                yield pa.array([kept[a:b].astype(str).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.string()))
 
     return features
 
@@ -163,7 +176,7 @@ def fit(
         share = 1.0 if classes.get(1) else 0.0
         return ToxicityModel(orders, bits, empty.astype(np.int64), empty, 50.0 if share else -50.0)
 
-    counts = train.mapInPandas(_count_udf(orders, bits), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = train.mapInArrow(_count_udf(orders, bits), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q = F.col("toxic") + smoothing, F.col("clean") + smoothing
     ratio = F.log(p / classes[1]) - F.log(q / classes[0])
     ranked = (
@@ -198,13 +211,15 @@ def fit(
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "score") -> DataFrame:
     """Add ``output``: the probability, 0 to 1, that the whole text is toxic."""
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    @released
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slot = _slots(model.buckets, model.bits)
-        for texts in batches:
-            rows, kept = _hits(texts, slot, model.orders, model.bits) if len(model.buckets) else (np.zeros(0, np.int64),) * 2
-            total = model.bias + np.bincount(rows, model.weights[kept] if len(kept) else None, minlength=len(texts))
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))
+        for batch in batches:
+            for part in portions(batch, batch):
+                rows, kept = _hits(part.to_pylist(), slot, model.orders, model.bits) if len(model.buckets) else (np.zeros(0, np.int64),) * 2
+                total = model.bias + np.bincount(rows, model.weights[kept] if len(kept) else None, minlength=len(part))
+                yield pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))
 
     return docs.withColumn(output, toxicity(F.coalesce(F.col(text), F.lit(""))))
 

@@ -40,3 +40,41 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, none)).first()["score"] < 0.01
     assert toxicity.classify(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_counts_of_presences_are_those_of_a_plain_loop():
+    import numpy as np
+    import pyarrow as pa
+
+    orders, bits = (3, 4, 5), 20
+    long = "abc def ghij " * 60_000
+    texts, toxic = [long, "abc def", None, "", long + "zq", "ABC def"], [1, 0, 0, 1, 0, 1]
+    want = np.zeros((2, 1 << bits), int)
+    for text, label in zip(texts, toxic, strict=True):
+        points = toxicity._code_points(text)
+        found = set()
+        for buckets, ok in toxicity._grams(points, orders, bits):
+            found |= set(buckets[ok].tolist())
+        want[label, list(found)] += 1
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array(toxic, pa.int32())})
+    for batches in ([batch], [batch.slice(0, 2), batch.slice(2)]):
+        got = np.zeros((2, 1 << bits), int)
+        for part in toxicity._count_udf(orders, bits)(iter(batches)):
+            got[0, part["bucket"].to_numpy()] += part["clean"].to_numpy()
+            got[1, part["bucket"].to_numpy()] += part["toxic"].to_numpy()
+        assert (got == want).all()
+
+
+def test_ratios_and_scores_are_those_of_the_formula(spark):
+    """Log-count ratios and scores against a plain computation on the same counts."""
+    import numpy as np
+
+    docs, labels = made_up(200)
+    table = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"), bits=16)
+    kept = {int(b): float(w) for b, w in zip(model.buckets, model.weights, strict=True)}
+    for row in toxicity.score(table, model, output="p").collect()[:40]:
+        found = set()
+        for buckets, ok in toxicity._grams(toxicity._code_points(row["text"]), model.orders, model.bits):
+            found |= set(buckets[ok].tolist())
+        assert abs(row["p"] - 1 / (1 + np.exp(-(model.bias + sum(kept.get(b, 0.0) for b in found))))) < 1e-9
