@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step replaces the neighbours' links of a node by links to the smallest neighbour. A node's minimum is
-a partial aggregate and is joined back, so no task ever holds all neighbours of a hub. The steps repeat
-until the links no longer change, which takes a logarithmic number of rounds; every round is checkpointed.
+a partial aggregate and is joined back; the neighbours of a hub stream through that join as rows of two ids,
+which Spark's skew join splits, and are never brought together in memory. The steps repeat until the links
+no longer change, which takes a logarithmic number of rounds; every round is checkpointed.
 """
 
 from __future__ import annotations

@@ -25,15 +25,18 @@ a null id only means that the row can't name a component. Shingles are compared
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwire.llm import shingles
 from siftwire.llm.components import components
+from siftwire.llm.memory import portions, released
 from siftwire.llm.sized import sized
 from siftwire.session import checkpointed, stored
 
@@ -44,6 +47,8 @@ _CHUNK = 4096
 SKETCH_BITS = 6
 #: A shingle counted at least so often is hot: its list may be long and is never brought together in one task.
 HOT = 1000
+#: Tasks over which the members of a hot list are spread.
+SALTS = 64
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -53,16 +58,21 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     """Occurrences of all documents' shingles in 2 ** COUNTER_BITS counters, added up in two steps."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(1 << COUNTER_BITS, np.int64)
+    @released
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNTER_BITS, np.uint32)
         salt = 0
         for batch in batches:
-            for word in shingles.words(batch["text"]):
-                at = _bucket(shingles.shingles(word, width))
-                np.add.at(table, at, 1)
-                salt ^= int(at[0]) if len(at) else 0
+            for part in portions(batch, batch.column("text")):
+                for word in shingles.words(part.column("text").to_pylist()):
+                    at = _bucket(shingles.shingles(word, width))
+                    np.add.at(table, at, np.uint32(1))
+                    salt ^= int(at[0]) if len(at) else 0
         if table.any():
-            yield pd.DataFrame({"chunk": np.arange(len(table) // _CHUNK), "salt": salt % 64, "counts": [c.tobytes() for c in table.astype("<u4").reshape(-1, _CHUNK)]})
+            chunks = len(table) // _CHUNK
+            yield pa.RecordBatch.from_pydict(
+                {"chunk": np.arange(chunks, dtype=np.int32), "salt": np.full(chunks, salt % 64, np.int32), "counts": [c.tobytes() for c in table.astype("<u4").reshape(-1, _CHUNK)]}
+            )
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_CHUNK, np.uint64)
@@ -71,7 +81,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
         return pd.DataFrame({"chunk": batch["chunk"].iloc[:1], "salt": 0, "counts": [np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()]})
 
     schema = "chunk int, salt int, counts binary"
-    counted = docs.select("text").mapInPandas(count, schema)
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
     summed = counted.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
     table = np.zeros(1 << COUNTER_BITS, np.uint32)
     for row in summed.collect():  # 4 MB at any corpus size
@@ -87,28 +97,35 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(texts: list[str], seen: set[int]) -> dict[str, pa.Array]:
+        rows: list[tuple] = []
+        for word in shingles.words(texts):
+            own = shingles.distinct(shingles.shingles(word, width))
+            n = len(own)
+            length = n - (percent * n + 99) // 100 + 1 if n else 0
+            count = shared.value[_bucket(own)]
+            first_ones = np.argsort(count, kind="stable")[:length]
+            prefix, cold = own[first_ones], int(np.count_nonzero(count[first_ones] < HOT))
+            group = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+            first = n > 0 and group not in seen
+            if first and len(seen) < 200_000:
+                seen.add(group)
+            parts = np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            sketch = parts.astype(np.int16) if n and parts.max() < 1 << 15 else None
+            rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None, cold, sketch))
+        columns = zip(*rows, strict=True) if rows else ((),) * 6
+        return {name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)}
+
+    @released
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows: list[tuple] = []
-            for word in shingles.words(batch["text"]):
-                own = shingles.distinct(shingles.shingles(word, width))
-                n = len(own)
-                length = n - (percent * n + 99) // 100 + 1 if n else 0
-                count = shared.value[_bucket(own)]
-                first_ones = np.argsort(count, kind="stable")[:length]
-                prefix, cold = own[first_ones], int(np.count_nonzero(count[first_ones] < HOT))
-                group = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                first = n > 0 and group not in seen
-                if first and len(seen) < 2_000_000:
-                    seen.add(group)
-                parts = np.bincount((own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                sketch = parts.astype(np.int16) if n and parts.max() < 1 << 15 else None
-                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), group, prefix.view(np.int64) if first else None, cold, sketch))
-            n, key, group, prefix, cold, sketch = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_key": key, "group_key": group, "prefix": prefix, "cold": cold, "sketch": sketch})
-
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int, sketch array<short>")
+            for part in portions(batch, batch.column("text")):
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **signed(part.column("text").to_pylist(), seen)})
+
+    kinds = {"n": pa.int64(), "set_key": pa.binary(), "group_key": pa.int64(), "prefix": pa.list_(pa.int64()), "cold": pa.int32(), "sketch": pa.list_(pa.int16())}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int, sketch array<short>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -116,12 +133,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     ids = sized(wanted.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @released
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles.distinct(shingles.shingles(w, width)) for w in shingles.words(batch["text"])]
-            yield pd.DataFrame({"set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "members": [s.view(np.int64) for s in found]})
+            for part in portions(batch, batch.column("text")):
+                found = [shingles.distinct(shingles.shingles(w, width)) for w in shingles.words(part.column("text").to_pylist())]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                yield pa.RecordBatch.from_pydict({"set_key": pa.array(keys, pa.binary()), "members": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
 
-    return texts.select("text").mapInPandas(sets, "set_key binary, members array<long>")
+    return texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sets, "set_key binary, members array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -141,7 +161,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
 
 
 def candidate_lists(signed: DataFrame) -> DataFrame:
-    """(shingle, group_key, n, at): the groups that meet in a prefix shingle, a row for each group and list.
+    """(shingle, group_key, n, at, hot): the groups that meet in a prefix shingle, a row for each group and list.
 
     Lists of cold shingles are bounded by HOT, so they are told from shingles of one group only within one
     partition; lists with the same groups become one, with each group's first position in them, which can
@@ -155,11 +175,12 @@ def candidate_lists(signed: DataFrame) -> DataFrame:
         "place",
         F.min("group_key").over(of_one).alias("low"),
         F.max("group_key").over(of_one).alias("high"),
-        F.sum(F.xxhash64("group_key") / F.lit(1 << 20)).over(of_one).cast("long").alias("shingle"),
+        # A sum of integers, the same in any order; HOT bounds its terms, so that it can't overflow.
+        F.sum(F.shiftright(F.xxhash64("group_key"), 14)).over(of_one).alias("shingle"),
     ).where("low <> high")
     cold = met.groupBy("shingle", "group_key").agg(F.min("place").alias("place"))
-    cold = cold.select("shingle", "group_key", F.expr(f"place div {1 << 31}").alias("n"), F.expr(f"cast(place % {1 << 31} as int)").alias("at"))
-    hot = index.where("at >= cold").select("shingle", "group_key", "n", "at").distinct()
+    cold = cold.select("shingle", "group_key", F.expr(f"place div {1 << 31}").alias("n"), F.expr(f"cast(place % {1 << 31} as int)").alias("at"), F.lit(False).alias("hot"))
+    hot = index.where("at >= cold").select("shingle", "group_key", "n", "at", F.lit(True).alias("hot")).distinct()
     return cold.unionByName(hot)
 
 
@@ -177,9 +198,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     signed = stored(signatures(docs, width, percent), "signatures")
     classes = stored(signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
     # Classes with the same prefix and size meet under their group's key.
-    own = classes.groupBy("group_key", "n").agg(F.count("*").alias("classes")).where("classes > 1").select("group_key", "n", F.lit(0).alias("at"), F.col("group_key").alias("shingle"))
-    lists = candidate_lists(signed).unionByName(own.select("shingle", "group_key", "n", "at"))
-    rows = stored(lists.join(classes.select("group_key", "set_key"), "group_key"), "members")
+    own = classes.groupBy("group_key", "n").agg(F.count("*").alias("classes")).where("classes > 1").select("group_key", "n", F.lit(0).alias("at"), F.col("group_key").alias("shingle"), (F.col("classes") >= HOT).alias("hot"))
+    lists = candidate_lists(signed).unionByName(own)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = stored(lists.join(classes.select("group_key", "set_key"), "group_key").withColumn("salt", salt), "members")
 
     links = None
     labels = None
@@ -192,20 +214,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
         lead = F.struct(F.struct(F.when(F.lit(turn == 0), F.col("at")).otherwise(0), draw).alias("draw"), *(F.col(c) for c in ("set_key", "component", "n", "at")))
         heads = (
             placed.groupBy("shingle")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"))
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"), F.max("hot").alias("hot"))
             .where("low <> high")
-            .select("shingle", "head.*")
-            .toDF("shingle", "draw", "h_key", "h_component", "h_n", "h_at")
+            .select("shingle", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))), "head.*")
+            .toDF("shingle", "salt", "draw", "h_key", "h_component", "h_n", "h_at")
         )
-        others = placed.join(heads, "shingle").where(F.col("component") != F.col("h_component"))
+        others = placed.join(heads, ["shingle", "salt"]).where(F.col("component") != F.col("h_component"))
         if turn < star_rounds:
             near = _may_link(F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"), percent)
             pairs = others.where(near).select(F.least("h_key", "set_key").alias("a"), F.greatest("h_key", "set_key").alias("b"))
         else:  # every pair of members in different components, one of them outside the head's
-            mates = placed.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("set_key", "component", "n", "at")))
+            # Sizes that may link differ by one step of this scale at most, so that a list is dealt out by size too.
+            step = lambda n: F.floor(F.log(n) / math.log(100 / percent) if percent < 100 else n).cast("long")
+            others = others.withColumn("step", step(F.col("n")))
+            mates = placed.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("set_key", "component", "n", "at")), F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
             near = _may_link(F.col("n"), F.col("at"), F.col("m_n"), F.col("m_at"), percent)
             once = (F.col("m_component") == F.col("h_component")) | (F.col("set_key") < F.col("m_set_key"))
-            met = others.join(mates, "shingle").where((F.col("component") != F.col("m_component")) & once & near)
+            met = others.join(mates, ["shingle", "step"]).where((F.col("component") != F.col("m_component")) & once & near)
             pairs = met.select(F.least("set_key", "m_set_key").alias("a"), F.greatest("set_key", "m_set_key").alias("b"))
         new = checkpointed(_verified(docs, pairs, classes, width, percent))
         links = new if links is None else links.unionByName(new)
