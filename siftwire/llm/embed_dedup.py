@@ -9,8 +9,8 @@ The cap is chosen by simulation so that pairs at exactly the threshold share a f
 
 Equal vectors of one label are one class and compared once. A pair that shares several filters counts in the
 first. A filter's vectors are dealt to blocks of about ``block`` of them, and each task compares two blocks,
-so that a filter with any share of all vectors is spread; tasks return counts and the roots of a local
-union-find, never the pairs.
+so that a filter with any share of all vectors is spread; a task takes many filters, one after the other, and
+returns counts and the roots of a local union-find, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
 null label, link with nothing. Only vectors with equally many components are compared. Rows may repeat: each
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.llm.components import components
+from siftwire.llm.memory import released
 from siftwire.llm.sized import sized
 from siftwire.session import checkpointed, stored
 
@@ -109,38 +110,78 @@ def _units(raw: pd.Series, kind: str) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
+_GROUP = ["label", "dims", "filter", "low", "high"]
+
+
+def _joined(near: np.ndarray) -> np.ndarray:
+    """The smallest row that links reach, for each row of a symmetric matrix."""
+    parent = np.arange(len(near))
+    for i in range(len(near)):
+        roots = np.append(parent[near[i]], parent[i])
+        parent[np.isin(parent, roots)] = roots.min()
+    return parent
+
+
+def _links(group: pd.DataFrame, near: np.ndarray, own: int) -> pd.DataFrame:
+    """Of the linked rows of two blocks of a filter: links counted in their first common filter, and local roots."""
+    order = np.argsort(group["key"].to_numpy(), kind="stable")
+    group, near = group.iloc[order], near[np.ix_(order, order)]
+    root = group["key"].to_numpy()[_joined(near)]
+    lists = [np.frombuffer(x, "<i8") for x in group["filters"]]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists)
+    row, flat = row[flat < own], flat[flat < own]
+    if len(flat):
+        names, column = np.unique(flat, return_inverse=True)
+        has = np.zeros((len(lists), len(names)), np.float32)
+        has[row, column] = 1
+        near = near & (has @ has.T == 0)
+    return pd.DataFrame({"key": group["key"], "links": near @ group["copies"].to_numpy().astype(np.int64), "root": root})
+
+
 def _compare(kind: str, threshold: float):
-    """Counts links of two blocks of one filter, each pair in its first common filter, and joins components."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        own, first, second = int(group["filter"].iloc[0]), int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        group = group.sort_values("key", ignore_index=True)
-        unit = _units(group["raw"], kind)
-        near = unit @ unit.T >= threshold
-        np.fill_diagonal(near, False)
-        block = group["block"].to_numpy()
-        if first != second:
-            near &= block[:, None] != block[None, :]
-        parent = np.arange(len(group))
-        for i in range(len(group)):  # every row joins its first linked row's tree
-            j = int(near[i].argmax())
-            if near[i, j]:
-                roots = parent[near[i]]
-                low = min(int(roots.min()), int(parent[i]))
-                parent[np.isin(parent, np.append(roots, parent[i]))] = low
-        lists = [np.frombuffer(x, "<i8") for x in group["filters"]]
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        flat = np.concatenate(lists)
-        row, flat = row[flat < own], flat[flat < own]
-        if len(flat) and near.any():
-            names, column = np.unique(flat, return_inverse=True)
-            has = np.zeros((len(lists), len(names)), np.float32)
-            has[row, column] = 1
-            near &= has @ has.T == 0
-        links = near @ group["copies"].to_numpy().astype(np.int64)
-        return pd.DataFrame({"key": group["key"], "links": links, "root": group["key"].to_numpy()[parent]})
-
-    return compare
+    """Compares the blocks of many filters; the rows of a group stand together, in order, and may cross batches."""
+
+    def starts_of(rows: pd.DataFrame) -> np.ndarray:
+        differs = np.zeros(len(rows), bool)
+        differs[0] = True
+        for c in _GROUP:
+            values = rows[c].to_numpy()
+            differs[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(differs)
+
+    def compared(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        block, dims = rows["block"].to_numpy(), rows["dims"].to_numpy()
+        ends = np.append(starts[1:], len(rows))
+        unit, unit_from, unit_to = None, 0, 0
+        for a, b in zip(starts, ends, strict=True):
+            if b - a < 2:
+                continue
+            if b > unit_to:  # the units of the groups that follow, as far as they have equally many components
+                other = np.flatnonzero(dims[a:] != dims[a])
+                unit_from, unit_to = a, a + (other[0] if len(other) else len(dims) - a)
+                unit = _units(rows["raw"].iloc[unit_from:unit_to], kind)
+            own = unit[a - unit_from : b - unit_from]
+            near = own @ own.T >= threshold
+            np.fill_diagonal(near, False)
+            if rows["low"].iat[a] != rows["high"].iat[a]:
+                near &= block[a:b, None] != block[None, a:b]
+            linked = np.flatnonzero(near.any(axis=1))
+            if len(linked):
+                yield _links(rows.iloc[a + linked], near[np.ix_(linked, linked)], int(rows["filter"].iat[a]))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if len(rows):
+                starts = starts_of(rows)
+                yield from compared(rows.iloc[: starts[-1]], starts[:-1])
+                rest = rows.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield from compared(rest, np.zeros(1, int))
+
+    return released(compare)
 
 
 def near_duplicates(
@@ -169,7 +210,7 @@ def near_duplicates(
             rows = []
             for name, vector in zip(batch["label"], batch["embedding"], strict=True):
                 values = None if name is None else _numbers(vector, kind)
-                rows.append((None, None, None) if values is None else (hashlib.blake2b(values.tobytes(), digest_size=16, key=name.encode()[:64]).digest(), values.tobytes(), len(values)))
+                rows.append((None, None, None) if values is None else (hashlib.blake2b(values.tobytes(), digest_size=16, key=hashlib.blake2b(name.encode()).digest()).digest(), values.tobytes(), len(values)))
             key, raw, dims = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "key": key, "raw": raw, "dims": pd.array(dims, "Int32")})
 
@@ -201,7 +242,8 @@ def near_duplicates(
     placed = met.join(sized(counts), ["label", "dims", "filter"]).withColumn("blocks", F.ceil(F.col("n") / block))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = placed.select("label", "dims", "filter", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "block", "key", "copies", "raw", "filters")
-    compared = checkpointed(pairs.groupBy("label", "dims", "filter", "low", "high").applyInPandas(_compare(kind, threshold), "key binary, links long, root binary"))
+    dealt = pairs.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    compared = checkpointed(dealt.mapInPandas(_compare(kind, threshold), "key binary, links long, root binary"))
 
     linked = compared.groupBy("key").agg(F.sum("links").alias("links"))
     graph = components(compared.select("key", "root"), "key", "root")

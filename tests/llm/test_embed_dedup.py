@@ -71,3 +71,24 @@ def test_pairs_at_the_threshold_share_a_filter():
 
 def test_empty_table(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labels_that_begin_alike_stay_apart(spark):
+    rows = [(1, [1.0, 2.0], "x" * 64 + "a"), (2, [1.0, 2.0], "x" * 64 + "b"), (3, [1.0, 2.0], "x" * 64 + "b")]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
+
+
+def test_recall_of_the_whole_query_at_its_own_settings(spark):
+    """Pairs planted at cosine 0.93 to 0.99 among others; every pair stands alone, so that none is found by way of a third."""
+    rng, pairs = np.random.default_rng(12), 1500
+    x, y = rng.normal(size=(2, pairs, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    cosine = np.repeat([0.9301, 0.94, 0.96], pairs // 3)[:, None]
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), int(i % pairs) % 3) for i, v in enumerate(np.concatenate((x, y, rng.normal(size=(2000, 64)))))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4), threshold=0.93)
+    component = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in got.collect()}
+    found = [component[i + pairs] == (i, 1) and component[i] == (i, 1) for i in range(pairs)]
+    assert sum(found) >= 0.97 * pairs and all(component[i] == (i, 0) for i in range(2 * pairs, len(rows)))
