@@ -8,7 +8,9 @@ descendant with it, the most probable one is taken, so that choices never contra
 
 Output: the text of the chosen nodes without their rejected descendants; character references decoded, white
 space inside a block turned into one space, blocks trimmed and joined in page order by one line feed. Line
-breaks within a block count as white space. Nothing is capped.
+breaks within a block count as white space. Nothing is capped: nesting may be of any depth and a parent may
+have any number of children. Only scripts, styles, templates, inner frames and the head are never text; what
+math, drawings, objects and the like hold is judged by the trees.
 
 Defined results: a null page counts as empty; a page without main text gives ''; text without any markup is
 main text; unclosed and stray tags are repaired as far as paragraphs, list items and table parts go. Rows
@@ -21,6 +23,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +34,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwire.llm.memory import released
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("head script style template noscript svg math object iframe canvas".split())
+NO_TEXT = frozenset("head script style template iframe".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -90,7 +95,13 @@ def parse(page: str) -> Node:
     """The tree of nodes. Inline elements without telling attributes belong to the node around them."""
     root = Node("html")
     stack: list[tuple[str, Node]] = [("html", root)]
-    links, at, end = 0, 0, len(page)
+    open_tags: Counter[str] = Counter()
+    at, end = 0, len(page)
+
+    def shut_from(k: int) -> None:
+        open_tags.subtract(t for t, _ in stack[k:])
+        del stack[k:]
+
     while at < end:
         match = _TOKEN.match(page, at)
         raw, at = match.group(), match.end()
@@ -100,7 +111,7 @@ def parse(page: str) -> Node:
             size = len(plain) - plain.count(" ")
             node.parts.append(plain)
             node.text += size
-            node.linked += size if links else 0
+            node.linked += size if open_tags["a"] > 0 else 0
             node.words += plain.count(" ") + 1 if size else 0
             continue
         if raw.startswith("<!--") or match.group(1) in ("!", "?"):
@@ -109,14 +120,13 @@ def parse(page: str) -> Node:
         if not tag:
             node.parts.append("" if raw.startswith("</") else html.unescape(raw))
         elif match.group(1):
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not open_tags["p"]:
                 node.parts.append(None)
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
                     if stack[k][1] is stack[k - 1][1]:
                         stack[k - 1][1].parts.append(None if tag not in INLINE else "")
-                    del stack[k:]
+                    shut_from(k)
                     break
                 if stack[k][0] in SCOPE and tag in INLINE | {"p", "li"}:
                     break
@@ -133,16 +143,15 @@ def parse(page: str) -> Node:
             node.parts.append(" " if tag in ("br", "wbr") else None if tag == "hr" else "")
         else:
             shut = ({"p"} if tag in ENDS_P else set()) | CLOSES.get(tag, set())
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in shut) else ():
                 if stack[k][0] in shut:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    shut_from(k)
                 elif stack[k][0] in SCOPE:
                     break
             node = stack[-1][1]
             tokens = attribute_tokens(match.group(3))
+            open_tags[tag] += 1
             if tag == "a":
-                links += 1
                 node.links += 1
             if tag in INLINE and not tokens:
                 node.tags += 1
@@ -151,8 +160,6 @@ def parse(page: str) -> Node:
                 child = Node(tag, tokens, node)
                 node.parts.append(child)
                 stack.append((tag, child))
-            if len(stack) > 400:  # nesting beyond any sensible page is read flat
-                stack.pop()
     return root
 
 
@@ -178,6 +185,7 @@ def features(order: list[Node]) -> np.ndarray:
     other = {_TAG[t] for t in ("nav", "aside", "footer", "form")}
     last = len(STEMS) - 1
     depth = np.zeros(len(order), np.int32)
+    same = [Counter(c.tag for c in n.parts if isinstance(c, Node)) for n in order]
     for i, node in enumerate(order):
         row, kind = out[i], _TAG.get(node.tag, -1)
         if kind >= 0:
@@ -186,8 +194,7 @@ def features(order: list[Node]) -> np.ndarray:
             row[base + t] = 1
         p = node.parent
         up = number[id(p)] if p is not None else -1
-        kin = [c for c in p.parts if isinstance(c, Node)] if p is not None and len(p.parts) < 2000 else [node]
-        children = sum(isinstance(c, Node) for c in node.parts)
+        children = same[i].total()
         depth[i] = depth[up] + 1 if up >= 0 else 0
         row[base + last + 1 :] = (
             depth[i],
@@ -196,7 +203,7 @@ def features(order: list[Node]) -> np.ndarray:
             node.linked / max(1, node.text),
             node.links,
             children,
-            sum(c.tag == node.tag for c in kin) if len(kin) < 50 else 50,
+            same[up][node.tag] if up >= 0 else 1,
             i / len(order),
             node.text / max(1, p.text) if p is not None else 1,
             node.words / (children + 1),
@@ -382,6 +389,7 @@ def extract(pages: DataFrame, trees: Trees, page: str = "html", output: str = "t
     """Add ``output``: the main text of the whole page."""
 
     @F.pandas_udf("string")
+    @released
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list[str] = []

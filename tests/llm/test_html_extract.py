@@ -42,3 +42,31 @@ def test_choices_never_contradict(trees):
         order = H.listed(H.parse(H._made_up_page(rng)[0]))
         keep = dict(zip(map(id, order), H.decode(order, [rng.random() for _ in order]), strict=True))
         assert all(keep[id(n.parent)] or not keep[id(n)] for n in order[1:])
+
+
+def text_of(trees, page):
+    order = H.listed(H.parse(page))
+    return H.blocks(order, H.decode(order, trees.probability(H.features(order))))
+
+
+def test_depth_and_width_have_no_bound(trees):
+    words = "Here stands one plain sentence of an article, long enough to be one."
+    for depth in (5, 397, 398, 5000):
+        assert text_of(trees, "<body>" + "<div>" * depth + f"<article><p>{words}</p><p>{words}</p></article>" + "</div>" * depth) == f"{words}\n{words}"
+    for n in (10, 49, 50, 1999, 2000, 5000):
+        page = "<nav><a href=/>Home</a></nav><article><h1>Head</h1>" + "".join(f"<p>{words} {i}</p>" for i in range(n)) + "</article><footer>me</footer>"
+        assert text_of(trees, page) == "\n".join(["Head", *(f"{words} {i}" for i in range(n))])
+
+
+def test_features_of_a_node_do_not_change_with_the_width_of_its_parent():
+    at = H.FEATURES.index("same_siblings")
+    for n in (3, 60, 3000):
+        order = H.listed(H.parse("<article>" + "<p>x</p>" * n + "<div>y</div></article>"))
+        rows = H.features(order)
+        assert {rows[i, at] for i, node in enumerate(order) if node.tag == "p"} == {n} and rows[-1, at] == 1
+
+
+def test_text_of_unusual_elements_stays(trees):
+    words = "Here stands one plain sentence of an article, long enough to be one."
+    page = f"<article><p>{words}</p><p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <noscript>no script</noscript> <object>a thing</object>. {words}</p><script>no()</script></article>"
+    assert "".join(text_of(trees, page).split()) == "".join(f"{words} Then x=2 and no script a thing. {words}".split())
