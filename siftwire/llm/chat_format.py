@@ -58,11 +58,6 @@ def exchanges(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, answers.select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
 
 
-def canonical(json: Column) -> Column:
-    """The JSON text in canonical form; null if it is none."""
-    return F.to_json(F.try_parse_json(json))
-
-
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Calls with ``errors``: array<string>, sorted. Arguments that no schema row names are unknown."""
     rules = schemas.groupBy("tool").agg(F.sort_array(F.collect_list(F.struct("argument", "type", "required", "choices"))).alias("rules"))
