@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 the next stage's docs. All but the last return the columns of ``documents``. Every stage works on all rows
 that its predecessor kept:
 
-1.  toxicity: documents that the classifier rejects go. It learns from the labels in ``sf_dir``.
+1.  toxicity: documents that the classifier rejects go. It learns from the labels in ``sf_dir``, but from none
+    that is held out.
 2.  near_duplicates: of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document
     with the smallest id stays, repeated rows become one. Rows without an id stay; an id that stands for
     its own group stays with all its texts.
@@ -32,7 +33,8 @@ BUDGET = 0.9
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = toxicity.score(docs, toxicity.fit(docs, labels), output="__score")
+    model = toxicity.fit(docs.where(~toxicity.held_out("doc_id")), labels.where(~toxicity.held_out("doc_id")))
+    judged = toxicity.score(docs, model, output="__score")
     return judged.where("__score < 0.5").select(docs.columns)
 
 

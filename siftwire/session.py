@@ -36,10 +36,12 @@ def local_session(cores: int = 8, app: str = "siftwire", **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where there is none."""
+    """The folder of ``spark.checkpoint.dir``. A temporary one is set only where there is none and all runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
