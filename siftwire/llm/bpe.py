@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from siftwire.llm.memory import portions, released
 
 #: Bytes, about, of words and pre-tokens whose ids a task remembers; emptied when full, results don't depend on it.
-REMEMBERED = 192 << 20
+REMEMBERED = 64 << 20
 #: Words or ids that are looked up at once.
 RUN = 1 << 15
 #: A space that ends the text or that other white space follows.
