@@ -8,10 +8,8 @@ of its first ``size - needed + 1`` tokens in that order (prefix filter), must ha
 filter), and from the first shared prefix token on, enough template tokens must remain (positional filter).
 What passes is verified by counting the common tokens.
 
-Some templates hold all tokens of another label's and more, so that the wider notice alone meets the narrower
-template too. The narrower one gives way by place: only where each of its stretches (the shortest runs of
-words that meet the threshold) lies inside a stretch of a wider one, and its wording doesn't stand in the
-block apart from the wider one's. A block that states both gets both labels.
+Every block and template that meet the threshold count. Some templates hold all tokens of another label's, so
+that the wider notice meets both and gets both labels.
 
 Only DataFrame functions are used. Templates are a fixed list given by the caller, so the index of their
 prefixes has a known size and is broadcast; texts are never shuffled, only the labels that were found.
@@ -64,7 +62,7 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal"],
 }
-INDEX = "token string, id int, label string, template array<string>, needed int, left int, wider array<int>, paired boolean, wording string, wider_wordings array<string>"
+INDEX = "token string, label string, template array<string>, needed int, left int"
 _OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -81,41 +79,28 @@ def words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def _worded(text: str) -> list[str]:
-    return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
-
-
 def _tokens(text: str) -> list[str]:
-    return sorted(set(_worded(text)))
+    return sorted(set(re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))))
 
 
 def template_index(docs: DataFrame, templates: Mapping[str, list[str]], containment: float) -> list[tuple]:
-    """A row for each template and prefix token: token, id, label, tokens, needed, left, wider, paired,
-    wording, wider_wordings.
+    """A row for each template and prefix token: token, label, tokens, needed, left.
 
     The order of tokens is that of their number of occurrences in the whole corpus; only the templates'
     own tokens are counted, so what comes back has a fixed size. ``left`` is the number of template tokens
-    from this one on, ``wider`` lists the templates with other labels that hold all tokens of this one and more, ``paired`` says whether
-    this one has such or is such; ``wording`` is the template's words with a blank around each.
+    from this one on.
     """
     spark = docs.sparkSession
     sets = [(label, _tokens(text)) for label, texts in sorted(templates.items()) for text in texts]
-    wordings = ["".join(f" {w} " for w in _worded(text)) for _, texts in sorted(templates.items()) for text in texts]
-    wider_of = [[i for i, (other, more) in enumerate(sets) if other != label and set(tokens) < set(more)] for label, tokens in sets]
-    paired = {i for n, wider in enumerate(wider_of) if wider for i in [n, *wider]}
     vocabulary = sorted({t for _, tokens in sets for t in tokens})
     asked = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
     worded = docs.select(words(ascii_lower(F.col("text"))).alias("words"))
     count = {r["token"]: r["count"] for r in worded.select(F.explode_outer("words").alias("token")).join(asked, "token").groupBy("token").count().collect()}
     rows = []
-    for number, (label, tokens) in enumerate(sets):
-        if not tokens:
-            continue
-        wider = wider_of[number]
-        more = [number in paired, wordings[number], [wordings[i] for i in wider]]
+    for label, tokens in sets:
         ordered = sorted(tokens, key=lambda t: (count.get(t, 0), t))
         needed = max(1, math.ceil(containment * len(ordered) - 1e-9))
-        rows += [(t, number, label, ordered, needed, len(ordered) - i, wider, *more) for i, t in enumerate(ordered[: len(ordered) - needed + 1])]
+        rows += [(t, label, ordered, needed, len(ordered) - i) for i, t in enumerate(ordered[: len(ordered) - needed + 1])]
     return rows
 
 
@@ -147,31 +132,6 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _stretches(word: Column, template: Column, needed: Column) -> Column:
-    """array<struct<first, last>>: the shortest runs of words that hold ``needed`` tokens of the template, by place."""
-    own = F.filter(F.transform(word, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: F.array_contains(template, x["w"]))
-    kind = "struct<seen:array<struct<at:int,w:string>>,found:array<struct<first:int,last:int>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        # The last place of each token so far, latest first.
-        seen = F.slice(F.concat(F.array(x), F.filter(acc["seen"], lambda y: y["w"] != x["w"])), F.lit(1), F.size(template))
-        first = F.get(seen, needed - 1)["at"]
-        longer = first.isNotNull() & (first > F.coalesce(F.try_element_at(acc["found"], F.lit(-1))["first"], F.lit(-1)))
-        found = F.when(longer, F.concat(acc["found"], F.array(F.struct(first.alias("first"), x["at"].alias("last"))))).otherwise(acc["found"])
-        return F.struct(seen.alias("seen"), found.alias("found")).cast(kind)
-
-    empty = F.struct(F.array().alias("seen"), F.array().alias("found")).cast(kind)
-    return F.aggregate(own, empty, step, lambda acc: acc["found"])
-
-
-def _stands(hit: Column, hits: Column) -> Column:
-    """Whether a template's hit stays beside the wider ones of its block."""
-    wider = F.filter(hits, lambda h: F.array_contains(hit["wider"], h["id"]))
-    around = F.flatten(F.transform(wider, lambda h: h["stretches"]))
-    free = F.exists(hit["stretches"], lambda s: ~F.exists(around, lambda w: (w["first"] <= s["first"]) & (s["last"] <= w["last"])))
-    return (F.size(wider) == 0) | hit["apart"] | free
-
-
 def template_labels(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, containment: float = 0.95) -> DataFrame:
     """(text_key, label, score): the templates found in each distinct text, by the text's 128-bit key.
 
@@ -182,22 +142,12 @@ def template_labels(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLA
     # Lines, and paragraphs of more than one line.
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.contains(x, F.lit("\n")))
     blocks = lowered.select(text_key("text").alias("text_key"), F.explode_outer(F.concat(F.split("text", "\n"), paragraphs)).alias("block"))
-    worded = blocks.select("text_key", words(F.col("block")).alias("words"))
-    tokens = worded.select("text_key", "words", F.array_distinct("words").alias("tokens"))
-    met = tokens.select("text_key", "words", "tokens", F.explode_outer("tokens").alias("token")).join(F.broadcast(index), "token")
+    tokens = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens"))
+    met = tokens.select("text_key", "tokens", F.explode_outer("tokens").alias("token")).join(F.broadcast(index), "token")
     common = F.size(F.array_intersect("tokens", "template"))
     # The shared token may not be the first shared one, but for the first one both filters hold.
     passed = met.where((F.size("tokens") >= F.col("needed")) & (F.col("left") >= F.col("needed")) & (common >= F.col("needed")))
-    stretches = F.when(F.col("paired"), _stretches(F.col("words"), F.col("template"), F.col("needed"))).alias("stretches")
-    # The block without the wider templates' wordings.
-    rest = F.aggregate("wider_wordings", F.array_join(F.transform("words", lambda w: F.concat(F.lit(" "), w, F.lit(" "))), ""), lambda text, w: F.replace(text, w, F.lit("\n")))
-    apart = F.when(F.size("wider") > 0, F.contains(rest, F.col("wording"))).otherwise(F.lit(True)).alias("apart")
-    hit = F.struct("id", "label", (common / F.size("template")).alias("score"), "wider", stretches, apart)
-    found = passed.select("text_key", F.xxhash64("words").alias("block"), hit.alias("hit"))
-    # At most one hit for each template and block.
-    hits = found.groupBy("text_key", "block").agg(F.collect_set("hit").alias("hits"))
-    kept = hits.select("text_key", F.explode(F.filter("hits", lambda h: _stands(h, F.col("hits")))).alias("hit"))
-    return kept.groupBy("text_key", F.col("hit.label").alias("label")).agg(F.max("hit.score").alias("score"))
+    return passed.groupBy("text_key", "label").agg(F.max(common / F.size("template")).alias("score"))
 
 
 def text_key(lowered: Column | str) -> Column:
