@@ -6,15 +6,23 @@ aliases, named entities by similarity. Each later stage only gets the items that
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.functions import text as T
 from siftwire.functions.sizes import sized
+from siftwire.session import checkpointed
 
 # Sources that need no check.
 BYPASS = ["github", "linear"]
+#: Entries of the table of key hashes that a text is compared with first.
+SLOTS = 1 << 16
 DECISION = ["item_id", "decision", "atomic_site_id", "matched_on", "confidence", "reason", "config_version"]
 
 
@@ -44,18 +52,38 @@ def terms(publishers: DataFrame) -> DataFrame:
     return listed.select("ord", "atomic_site_id", "x.*").where("term <> ''")
 
 
+def _folded(text: Column) -> Column:
+    """Letters that a match in any case takes for equal become equal; only for keys, which may say too much."""
+    # Without a step between them, the optimiser drops the inner change of case.
+    lower = F.translate(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), "ς", "σ")
+    return F.lower(F.translate(F.upper(lower), "Σ", "σ"))
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(_folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def term_hits(items: DataFrame, publishers: DataFrame) -> DataFrame:
     """(seq, ord, atomic_site_id, kind, term): one row for each item and publisher found in title or body.
 
-    A term that stands in a text as whole words has its first run of letters and digits as a word of the text.
-    Texts and terms meet on that word in a hash join; the full rule is checked on what meets. Case folds beyond
-    lower() are left out. A name beats aliases, an earlier alias a later one.
+    A term that stands in a text as whole words has its runs of letters and digits as neighbours in the text.
+    Its first two runs, or the only one, are its key. A text keeps those of its words and word pairs whose hash
+    is that of some key, nearly none but real ones, and meets the terms on them in a hash join; the full rule is
+    checked on what meets. The table of hashes has SLOTS entries at any number of terms. A name beats aliases,
+    an earlier alias a later one.
     """
+    known = terms(publishers).withColumn("runs", _runs(F.col("term")))
+    known = known.withColumn("key", F.array_join(F.slice("runs", 1, 2), " ")).drop("runs")
+    slot = lambda key: F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    taken = {r["slot"] for r in known.select(slot(F.col("key")).alias("slot")).distinct().collect()}
+    # A text that the optimiser folds into one array constant.
+    slots = F.from_json(F.lit(json.dumps([i in taken for i in range(SLOTS)])), "array<boolean>")
+
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    known = terms(publishers).withColumn("word", F.regexp_extract(F.lower("term"), r"[\p{L}\p{N}]+", 0))
-    texts = items.select("seq", body.alias("text"))
-    words = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
-    met = texts.select("seq", "text", F.explode(words).alias("word")).join(sized(known), "word").where(T.whole_word(F.col("text"), F.col("term")))
+    texts = items.select("seq", body.alias("text")).withColumn("runs", _runs(F.col("text")))
+    pairs = F.zip_with("runs", F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    keys = F.filter(F.concat(F.array(F.lit("")), F.col("runs"), pairs), lambda k: k.isNotNull() & F.get(slots, slot(k)))
+    met = texts.select("seq", "text", F.explode(F.array_distinct(keys)).alias("key")).join(sized(known), "key").where(T.whole_word(F.col("text"), F.col("term")))
     best = met.groupBy("seq", "ord", "atomic_site_id").agg(F.min(F.struct("kind", "pos", "term")).alias("x"))
     return best.select("seq", "ord", "atomic_site_id", "x.kind", "x.term")
 
@@ -88,15 +116,32 @@ def similar_text(a: str, b: str) -> int:
     return total
 
 
+def _similarity(a: str, b: str) -> float:
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else 2.0 * similar_text(a, b) / (len(a.encode()) + len(b.encode()))
+
+
 def _similarities(org: pd.Series, name: pd.Series) -> pd.Series:
     """Of normalised names, 0 to 1; the order of the two matters."""
+    return pd.Series([_similarity(a, b) for a, b in zip(org, name, strict=True)], dtype=float)
+
 
-    def one(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        return 1.0 if a == b else 2.0 * similar_text(a, b) / (len(a.encode()) + len(b.encode()))
+@lru_cache(maxsize=100_000)
+def _bytes_of(name: str) -> Counter:
+    return Counter(name.encode())
 
-    return pd.Series([one(a, b) for a, b in zip(org, name, strict=True)], dtype=float)
+
+def _top_similarities(org: pd.Series, name: pd.Series) -> pd.Series:
+    """Like ``_similarities``, but 0 where the bytes in common, in any order, can't reach what an entity already has."""
+    best: dict[str, float] = {}
+    out = []
+    for a, b in zip(org, name, strict=True):
+        x, y = _bytes_of(a), _bytes_of(b)
+        bound = 2.0 * (x & y).total() / max(1, x.total() + y.total())
+        out.append(_similarity(a, b) if bound >= best.get(a, 0.0) else 0.0)
+        best[a] = max(best.get(a, 0.0), out[-1])
+    return pd.Series(out, dtype=float)
 
 
 def similarity(org: Column | str, name: Column | str) -> Column:
@@ -106,11 +151,16 @@ def similarity(org: Column | str, name: Column | str) -> Column:
 def ner_best(entities: DataFrame, publishers: DataFrame) -> DataFrame:
     """(seq, best, n, ids, first_id) for items with entities (seq, orgs): the publishers with the best similarity.
 
-    Each distinct entity is compared once with the candidate names of the publishers, a dimension.
+    Entities that equal a name have their best in that; only they can reach 1. Each other distinct entity is
+    compared once with the candidate names of the publishers, a dimension.
     """
     names = terms(publishers).select("ord", "atomic_site_id", T.normal_name(F.col("term")).alias("name"))
     orgs = entities.select("seq", F.explode("orgs").alias("org")).select("seq", T.normal_name(F.col("org")).alias("org"))
-    scored = orgs.select("org").distinct().join(sized(names)).withColumn("s", similarity("org", "name"))
+    different = orgs.select("org").distinct()
+    same = different.where("org <> ''").join(names, F.col("org") == F.col("name")).select("org", "ord", "atomic_site_id", F.lit(1.0).alias("s"))
+    rest = different.join(same.select("org"), "org", "left_anti").join(sized(names))
+    near = rest.select("org", "ord", "atomic_site_id", F.pandas_udf(_top_similarities, "double")("org", "name").alias("s"))
+    scored = same.unionByName(near)
     by_org = scored.groupBy("org", "ord", "atomic_site_id").agg(F.max("s").alias("s"))
     by_item = orgs.distinct().join(by_org, "org").groupBy("seq", "ord", "atomic_site_id").agg(F.max("s").alias("s"))
     best = by_item.groupBy("seq").agg(F.max("s").alias("best"))
@@ -139,8 +189,16 @@ def band(best: DataFrame, passes: float = 0.85, ignores: float = 0.6) -> DataFra
     )
 
 
-def decide(items: DataFrame, publishers: DataFrame, config_version: str = "", entities: DataFrame | None = None) -> DataFrame:
-    """A decision for every item. ``entities`` (seq, orgs) is the extractor's output for items that may need it."""
+def lookup(publishers: DataFrame, atomic_site_id: str) -> DataFrame:
+    """The first publisher in store order with that id, or no row."""
+    return publishers.where(F.col("atomic_site_id") == atomic_site_id).orderBy("ord").limit(1)
+
+
+def decide(
+    items: DataFrame, publishers: DataFrame, config_version: str = "", entities: DataFrame | Callable[[DataFrame], DataFrame] | None = None, passes: float = 0.85, ignores: float = 0.6
+) -> DataFrame:
+    """A decision for every item. ``entities`` (seq, orgs) is the extractor's output for items that may need it,
+    or the extractor itself, which then only gets the items that no earlier stage decided."""
     none = F.lit(None).cast("string")
     open_items = items.where(~F.coalesce(F.col("source").isin(BYPASS), F.lit(False)))
     bypass = items.where(F.col("source").isin(BYPASS)).select(
@@ -169,7 +227,9 @@ def decide(items: DataFrame, publishers: DataFrame, config_version: str = "", en
     if entities is None:
         by_ner = held(left, "no deterministic signal")
     else:
+        if callable(entities):  # calls that cost money are made once
+            entities = checkpointed(entities(rest.join(left, "seq", "left_semi")))
         some = entities.where(F.size("orgs") > 0).join(left, "seq", "left_semi")
-        by_ner = band(ner_best(some, publishers)).unionByName(held(left.join(some.select("seq"), "seq", "left_anti"), "ner: no entities"))
+        by_ner = band(ner_best(some, publishers), passes, ignores).unionByName(held(left.join(some.select("seq"), "seq", "left_anti"), "ner: no entities"))
     made = bypass.unionByName(by_domain).unionByName(by_term).unionByName(by_ner)
     return items.select("seq", F.coalesce("id", F.lit("")).alias("item_id")).join(made, "seq").select("seq", *DECISION[:-1], F.lit(config_version).alias("config_version"))
