@@ -60,6 +60,41 @@ def merge_snapshots(parts: DataFrame) -> DataFrame:
     return parts.agg(*(total(c) for c in ("items", "done", "total")))
 
 
+def tick(items: DataFrame, sources: DataFrame) -> DataFrame:
+    """Events of one collection: the items (seq, source, id, ...), then a done of each of ``sources`` (source).
+
+    A source is done whether or not its calls succeeded; its done comes after all items.
+    """
+    last = items.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    place = F.row_number().over(Window.orderBy("source"))  # a handful of sources
+    done = sources.select("source").distinct().withColumn("place", place).crossJoin(F.broadcast(last)).select((F.col("last") + F.col("place")).alias("seq"), "source", F.lit("done").alias("kind"))
+    return items.withColumn("kind", F.lit("item")).unionByName(done, allowMissingColumns=True)
+
+
+def restored_items(saved: DataFrame) -> DataFrame:
+    """(cycle, at, id, item): the items of saved states (cycle, state), JSON texts of any shape.
+
+    Entries that are no objects are dropped; of entries with one id the first stays, all without an id stay.
+    ``item`` is the entry's JSON text, ``at`` its place. A state without a list of items has none.
+    """
+    entries = F.try_variant_get(F.try_parse_json("state"), "$.items", "array<variant>")
+    rows = saved.select("cycle", F.posexplode(entries).alias("at", "x")).where(F.schema_of_variant("x").startswith("OBJECT"))
+    named = F.try_variant_get("x", "$.id", "variant")
+    own = F.when(F.schema_of_variant(named) == "STRING", F.try_variant_get("x", "$.id", "string")).otherwise("")
+    rows = rows.select("cycle", F.col("at").cast("long").alias("at"), F.coalesce(own, F.lit("")).alias("id"), F.to_json("x").alias("item"))
+    firsts = rows.where("id <> ''").groupBy("cycle", "id").agg(F.min("at").alias("at"))
+    return rows.where("id <> ''").join(firsts, ["cycle", "id", "at"], "left_semi").unionByName(rows.where("id = ''")).select("cycle", "at", "id", "item")
+
+
+def restored_progress(saved: DataFrame) -> DataFrame:
+    """(cycle, total, reported): numbers and lists of texts of saved states (cycle, state); what is neither counts as 0 or none."""
+    state = F.try_parse_json("state")
+    total = F.coalesce(F.try_variant_get(state, "$.total", "double").cast("long"), F.lit(0))
+    sources = F.coalesce(F.try_variant_get(state, "$.reported", "array<variant>"), F.array().cast("array<variant>"))
+    texts = F.transform(F.filter(sources, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return saved.select("cycle", total.alias("total"), F.array_distinct(texts).alias("reported"))
+
+
 def restored(saved: DataFrame) -> DataFrame:
     """(cycle, source): sources of a saved list that are texts; others are dropped."""
     return saved.select("cycle", F.explode("reported").alias("source")).where("source is not null").distinct()

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwire.functions import text as T
 from siftwire.operators import items
 
 REPLY = "summary string, relevance_score int, reason string"
@@ -69,10 +70,27 @@ def entity_prompt(rows: DataFrame) -> DataFrame:
     return _prompt(rows, system, user)
 
 
+def digest_prompt(lines: DataFrame, profile: str = "") -> DataFrame:
+    """One row with the messages that ask for a digest of the lines (first_seq, rank, line), in their order."""
+    system = "You write a short briefing in markdown: an introduction, then sections of items that belong together, a line with its link for each."
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("first_seq", "rank", "line"))), lambda x: x["line"])
+    user = F.concat(F.lit(f"Write it for: {profile}\n\nItems:\n"), F.array_join("lines", "\n"))
+    return _prompt(lines.agg(listed.alias("lines")), system, user).select("messages")
+
+
+def compose(selected: DataFrame, model: Callable[[], Model] | None, profile: str = "") -> DataFrame:
+    """The digest of selected items as a model writes it; the ranked list without a model, a reply or any text in it."""
+    plain = items.ranked_list(selected)
+    if model is None:
+        return plain
+    asked = ask(digest_prompt(items.digest_lines(selected), profile), model, max_tokens=2000)
+    return plain.crossJoin(F.broadcast(asked)).select(F.when(~T.blank(F.col("reply")), F.col("reply")).otherwise(F.col("digest")).alias("digest"))  # a row each
+
+
 def ask(rows: DataFrame, model: Callable[[], Model], **options) -> DataFrame:
     """``rows`` with messages, asked one by one: adds ``reply``, null where the call failed. A model for each task."""
     kept = [c for c in rows.columns if c not in ("messages", "reply")]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(kept).dtypes) + ", reply string"
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.select(kept).dtypes), "reply string"])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model()

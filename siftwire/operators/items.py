@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +63,23 @@ def score(items: DataFrame, now: int, text: str = "title", keywords: Sequence[st
     return scored.withColumn("title", F.coalesce("title", F.lit(UNTITLED)))
 
 
+# Kinds of control rows.
+CONTROL = ["done", "reset", "regenerate"]
+
+
+def items_only(rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` on the items of rows with a ``kind`` (null: an item); control rows pass as they are, others go.
+
+    Columns that the step adds are null in control rows, those that it drops are dropped.
+    """
+    kind = F.coalesce("kind", F.lit("item"))
+    own = [f"__{c}" for c in rows.columns]
+    done = step(rows.where(kind.isin("item", *CONTROL)).withColumns({f"__{c}": F.col(c) for c in rows.columns}))
+    is_item = kind == "item"
+    old = lambda c: F.when(~is_item, F.col(f"__{c}")) if f"__{c}" in own else F.lit(None)
+    return done.select(*(F.when(is_item, F.col(c)).otherwise(old(c)).alias(c) for c in done.columns if c not in own))
+
+
 def first_ranked(items: DataFrame, n: int = 10) -> DataFrame:
     """The n best items of each source: score descending, then arrival. A missing score counts as 0."""
     by = Window.partitionBy("source").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "seq")

@@ -16,7 +16,10 @@ def _joined(store: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def merge(store: DataFrame, snapshot: DataFrame, today: str) -> DataFrame:
-    """The store after the import; other columns of the store, the enrichment, stay. An empty snapshot changes nothing."""
+    """The store after the import; other columns of the store, the enrichment, stay. An empty snapshot changes nothing.
+
+    A column ``title`` follows the domain of every row that the snapshot holds.
+    """
     if snapshot.isEmpty():
         return store
     seen, known = F.col("times").isNotNull(), F.coalesce("known", F.lit(False))
@@ -24,6 +27,7 @@ def merge(store: DataFrame, snapshot: DataFrame, today: str) -> DataFrame:
     back = seen & known & (F.col("status") == "churned")
     values = {
         "domain_name": F.when(seen, F.col("new.domain_name")).otherwise(F.col("domain_name")),
+        "title": F.when(seen, F.col("new.domain_name")).otherwise(F.col("title") if "title" in store.columns else F.lit("")),
         "created": F.when(seen, F.col("new.created")).otherwise(F.col("created")),
         "status": F.when(gone, "churned").when(back | ~known, "active").otherwise(F.col("status")),
         "first_seen": F.when(known, F.col("first_seen")).otherwise(today),

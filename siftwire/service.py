@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwire.config import PipelineConfig
-from siftwire.operators import items, reconcile
-from siftwire.sources import clients_csv
+from siftwire.operators import cycles, enrich, items, reconcile
+from siftwire.session import stored
+from siftwire.sources import clients_csv, code_host, feed, fetch, tracker
 
 
 def counts(scored: DataFrame) -> DataFrame:
@@ -28,9 +31,31 @@ def accumulated(snapshot: DataFrame, digest: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(digest.select("digest").limit(1)))
 
 
-def compose(scored: DataFrame, config: PipelineConfig, reply: str | None = None) -> DataFrame:
-    """The digest of scored items with summaries."""
-    return items.compose(items.selection(scored, config.per_source), reply)
+def compose(scored: DataFrame, config: PipelineConfig, reply: str | None = None, model: Callable[[], enrich.Model] | None = None) -> DataFrame:
+    """The digest of scored items with summaries: a reply that is there already, else the model's."""
+    selected = items.selection(scored, config.per_source)
+    return items.compose(selected, reply) if model is None else enrich.compose(selected, model, config.relevance_profile)
+
+
+def collect(spark: SparkSession, config: PipelineConfig, transport: fetch.Transport = fetch.http) -> DataFrame:
+    """Events of one collection from all configured sources: their items, the first of each id, then a done of each source.
+
+    The answers are stored once, so that no service is called twice. A call that fails brings no items.
+    """
+    answers = [
+        code_host.read(stored(fetch.code_host_answers(spark, config.repos, config.code_host_token, transport), "code-host")),
+        tracker.read(stored(fetch.tracker_answers(spark, config.tracker_token, transport), "tracker")),
+        feed.read(stored(fetch.feed_answers(spark, config.feeds, transport), "feeds")),
+    ]
+    # Places in order of the connectors; an answer's own places stay below 2 ** 50.
+    placed = [part.withColumn("seq", F.col("seq") + F.lit(i << 50)) for i, part in enumerate(answers)]
+    sources = spark.createDataFrame([("github",), ("linear",), ("feed",)], "source string")
+    return cycles.tick(items.first_by_id(items.union_all(placed)), sources)
+
+
+def regenerate(spark: SparkSession, seq: int) -> DataFrame:
+    """The control row that asks for a new digest of what is collected."""
+    return spark.createDataFrame([(seq, "regenerate", "")], "seq long, kind string, source string")
 
 
 def import_clients(spark: SparkSession, store: DataFrame, path: str, today: str) -> tuple[DataFrame, DataFrame]:

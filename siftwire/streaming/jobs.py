@@ -37,30 +37,35 @@ def first_seen(stream: DataFrame, remembered: int = 2000) -> DataFrame:
     Ids are forgotten in the order in which they came; a repeat doesn't make an id younger. State is bounded by
     ``remembered`` ids for each source. Rows of one batch are taken by ``seq``.
     """
-    schema, names = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes), stream.columns
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         order = dict.fromkeys(state.get[0]) if state.exists else {}
-        parts = [b[["seq", "id"]].assign(part=i, row=range(len(b)), kept=[r.to_dict() for _, r in b.iterrows()]) for i, b in enumerate(batches)]
         fresh = []
-        for row in pd.concat(parts).sort_values("seq", kind="stable").itertuples():
+        for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
             if row.id in order:
                 continue
             order[row.id] = None
             if len(order) > remembered:
                 del order[next(iter(order))]
-            fresh.append(row.kept)
+            fresh.append(row.row)
         state.update((list(order),))
-        yield pd.DataFrame(fresh, columns=names)
+        yield pd.DataFrame({"row": fresh})
 
-    keyed = stream.where(F.coalesce("id", F.lit("")) != "")
-    return keyed.groupBy("source").applyInPandasWithState(take, schema, "ids array<string>", "append", GroupStateTimeout.NoTimeout)
+    # A row travels as one text, so that no value changes its type on the way.
+    whole = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row")
+    keyed = stream.where(F.coalesce("id", F.lit("")) != "").select("source", "seq", "id", whole)
+    taken = keyed.groupBy("source").applyInPandasWithState(take, "row string", "ids array<string>", "append", GroupStateTimeout.NoTimeout)
+    return taken.select(F.from_json("row", stream.schema).alias("x")).select("x.*")
 
 
 def summarize_and_score(stream: DataFrame, now: int) -> DataFrame:
-    """Fallback summary and score of each item; the row-wise plan is that of the batch queries."""
+    """Fallback summary and score of each item; the row-wise plan is that of the batch queries.
+
+    With a column ``kind``, control rows pass as they are and rows of unknown kinds go.
+    """
     rated = stream if "relevance_score" in stream.columns else stream.withColumn("relevance_score", F.lit(None).cast("int"))
-    return items.score(items.with_fallback_summary(rated), now)
+    step = lambda rows: items.score(items.with_fallback_summary(rows), now)
+    return items.items_only(rated, step) if "kind" in stream.columns else step(rated)
 
 
 def decisions(stream: DataFrame, publishers: Callable[[], DataFrame], path: str, checkpoint: str, version: str, now: Callable[[], str]) -> StreamingQuery:

@@ -122,3 +122,42 @@ def test_config_round_trip():
     except ValueError:
         return
     raise AssertionError("a blank value was taken")
+
+
+def test_control_rows_pass_and_unknown_kinds_go(spark):
+    from siftwire.streaming import jobs
+
+    rows = [(1, "feed", "feed:1", "award", "", "b", 0, "item"), (2, "feed", None, None, None, None, None, "done"), (3, "feed", "x", "y", "", "", 0, "noise"), (4, "feed", "feed:4", None, "", "b", 0, None)]
+    df = spark.createDataFrame(rows, "seq long, source string, id string, title string, url string, body string, timestamp long, kind string")
+    got = {r["seq"]: (r["title"], r["summary"], r["score"]) for r in jobs.summarize_and_score(df, 0).collect()}
+    assert got == {1: ("award", "award — b", 2.0), 2: (None, None, None), 4: ("(untitled)", "(untitled) — b", 1.0)}
+
+
+def test_states_of_any_shape_are_restored(spark):
+    from siftwire.operators import cycles
+
+    states = [(1, '{"items":[{"id":"a","n":1},5,{"id":"a","n":2},{"n":3},{"id":7},null],"total":"3","reported":["x",1,"x","y"]}'), (2, '{"items":7,"total":[1]}'), (3, "no json"), (4, None)]
+    saved = spark.createDataFrame(states, "cycle long, state string")
+    assert sorted(map(tuple, cycles.restored_items(saved).collect())) == [(1, 0, "a", '{"id":"a","n":1}'), (1, 3, "", '{"n":3}'), (1, 4, "", '{"id":7}')]
+    assert sorted(map(tuple, cycles.restored_progress(saved).collect())) == [(1, 3, ["x", "y"]), (2, 0, []), (3, 0, []), (4, 0, [])]
+
+
+def test_digest_by_a_model(spark):
+    from siftwire.operators import enrich, items
+
+    rows = [(1, "feed", "One", "http://a", "s1", 2.0), (2, "feed", "Two", "http://b", "s2", 3.0)]
+    selected = items.selection(spark.createDataFrame(rows, "seq long, source string, title string, url string, summary string, score double"))
+
+    class Echo:
+        def __init__(self, reply):
+            self.reply = reply
+
+        def chat(self, messages, **options):
+            if self.reply is None:
+                raise OSError("down")
+            return self.reply or messages[1]["content"]
+
+    assert enrich.compose(selected, lambda: Echo(""), "us").first()["digest"].endswith("Items:\n- Two (feed, 3) s2 — http://b\n- One (feed, 2) s1 — http://a")
+    plain = "# Newsletter draft\n\n- s2\n- s1\n"
+    for model in (None, lambda: Echo(None), lambda: Echo("  ")):
+        assert enrich.compose(selected, model).first()["digest"] == plain

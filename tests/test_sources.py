@@ -72,3 +72,28 @@ def test_prefix_delete_takes_the_prefix_literally(spark):
     names = ["sw_a", "_transient_sw_b", "_transient_timeout_sw_c", "swXa", "other", "sw_"]
     rest, gone = reconcile.delete_prefixed(spark.createDataFrame([(n,) for n in names], "name string"), "sw_")
     assert gone.first()["deleted"] == 4 and sorted(r["name"] for r in rest.collect()) == ["other", "swXa"]
+
+
+def test_fetching(spark):
+    from siftwire.config import PipelineConfig
+    from siftwire.sources import fetch
+
+    def transport(url, headers, body, timeout):
+        assert timeout == 15
+        if "/bad/" in url:
+            raise OSError("no route")
+        if url.startswith(fetch.CODE_HOST):
+            assert headers.get("Authorization") in (None, "Bearer t")
+            return (500, "[]") if "/pulls" in url else (200, json.dumps([{"id": 1, "number": 7, "title": url.split("?")[0], "name": headers.get("Authorization")}]))
+        if url == fetch.TRACKER:
+            assert headers["Authorization"] == "k" and "issues" in json.loads(body)["query"]
+            return 200, json.dumps({"data": {"issues": {"nodes": [{"identifier": "A-1"}, {"identifier": "A-1"}]}}})
+        return (200, "<rss><channel><item><link>l</link></item></channel></rss>") if url.endswith("good") else (503, "")
+
+    config = PipelineConfig(repos=("o/r", "", "o/bad/x"), feeds=("http://f/good", "", "http://f/gone", "http://f/good"), code_host_token="t", tracker_token="k")
+    rows = service.collect(spark, config, transport).orderBy("seq").collect()
+    assert [(r["kind"], r["id"]) for r in rows if r["kind"] == "item"] == [("item", f"github:o/r#{x}") for x in ("release-1", "issue-7")] + [("item", "linear:A-1"), ("item", "feed:l")]
+    assert [(r["kind"], r["source"]) for r in rows[4:]] == [("done", "feed"), ("done", "github"), ("done", "linear")]
+    none = service.collect(spark, PipelineConfig(repos=("o/r",)), lambda *a: (500, "")).collect()
+    assert [r["kind"] for r in none] == ["done"] * 3
+    assert fetch.tracker_answers(spark, "").count() == 0
