@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, chat_format, embed_dedup, html_extract, license_scan, mixing, ngram_join, quality, secret_scan, toxicity
+from siftwire.llm import bpe, chat_format, embed_dedup, html_extract, license_scan, mixing, ngram_join, oracles, quality, secret_scan, toxicity
 from siftwire.llm.sized import sized
 
 
@@ -119,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": oracles.op5(), "op7_embedding_dedup": oracles.OP7, "op9_ngram_join": oracles.OP9}
