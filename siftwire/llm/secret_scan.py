@@ -92,13 +92,13 @@ def features(value: Column, near: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 4000, start: int = 0) -> DataFrame:
     """(value, near, path, label): findings with their verdict, made from seeded hashes.
 
     Half are secrets: random keys in the shapes of providers, hexadecimal, base64 or mixed values. Half are
     false positives: placeholders, names and calls of code, masked values, and random values beside words
     that make them checksums, commits or examples. Some of both are long, up to 16,000 characters: hexadecimal
-    and base64 runs, tokens and private keys, and repeated placeholders. ``rows`` bounds the training set.
+    and base64 runs, tokens and private keys, and repeated placeholders. ``rows`` bounds the training set; findings of ids from another ``start`` are new ones.
     """
     draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("int")
     noise = lambda k: F.concat(F.sha2(F.concat("id", F.lit(f"a{k}")), 256), F.sha2(F.concat("id", F.lit(f"b{k}")), 256))
@@ -153,7 +153,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     label = F.pmod("id", F.lit(2)).cast("double")
     random_value = ~is_long & (draw(12, 10) >= 8)
     secret, harmless = F.when(is_long, choose(31, long_secret)).otherwise(secret), F.when(is_long, choose(31, long_harmless)).otherwise(harmless)
-    return spark.range(0, rows, 1, 4).select(
+    return spark.range(start, start + rows, 1, 4).select(
         F.when(label == 1, secret).otherwise(harmless).alias("value"),
         F.concat(about, F.when((label == 0) & random_value, bad).when((label == 0) & (draw(27, 3) == 0), bad).otherwise(name)).alias("near"),
         F.when(label == 1, pick(28, "src/app.py", "conf/prod.yaml", "src3", "docs/setup.md", "")).otherwise(pick(28, "tests/test_api.py", "examples/demo.py", "src/app.py", "src3", "")).alias("path"),

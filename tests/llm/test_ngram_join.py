@@ -76,3 +76,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 300)] + [(5, j) for j in range(400, 500)] + [(7, 7), (None, 3), (9, 8), (8, 9)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 100 for i in range(100, 301)} | {j: 5 for j in [5, *range(400, 500)]} | {8: 8, 9: 8}
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150_000)]
+    near = list(base)
+    near[7] = "other"
+    rows = [(3, " ".join(base), "x"), (1, "\t" + "  ".join(near), "x"), (2, " ".join(base[:100_000]), "x"), (4, "z" * 700_000, "x"), (5, "Z" * 700_000, "x"), (6, " " * 700_000, "x")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_force(rows, 3, 90))
+
+
+def test_hot_lists_are_whole(spark, monkeypatch):
+    """Every list counts as hot, so that all are salted."""
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "SALTS", 5)
+    rows = made_up(7)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 3, 90)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_force(rows, 3, 90), key=key)

@@ -56,3 +56,32 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame(rows[:40], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels[:40], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count() <= 40
+
+
+def test_empty_tables_and_extra_columns(spark, tmp_path):
+    rows, labels = made_up()
+    kinds = SCHEMA + ", score double, epoch string, n_tokens string, n string, secrets string"
+    wide = [(*r, 0.5, "e", "t", "n", "s") for r in rows[:30]]
+    for name, docs, known in (("none", [], []), ("wide", wide, labels)):
+        folder = tmp_path / name
+        spark.createDataFrame(docs, kinds).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        table = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage, work in corpus_pipeline.STAGES[:-1]:
+            out = work(spark, table, str(folder))
+            assert out.columns == table.columns, stage
+            assert (out.count() > 0) == bool(docs)
+        got = corpus_pipeline.to_tokens(spark, out, str(folder))
+        assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and (got.count() > 0) == bool(docs)
+
+
+def test_held_out_labels_teach_nothing(spark, tmp_path):
+    rows, labels = made_up()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    import zlib
+
+    turned = [(d, q, 1 - t if zlib.crc32(str(d).encode()) % 5 == 0 else t) for d, q, t in labels]
+    spark.createDataFrame(turned, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [sorted(map(str, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / x)).collect())) for x in "ab"]
+    assert kept[0] == kept[1]
