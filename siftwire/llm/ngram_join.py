@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
             .select("shingle", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))), "head.*")
             .toDF("shingle", "salt", "draw", "h_key", "h_component", "h_n", "h_at")
         )
-        others = placed.join(heads, ["shingle", "salt"]).where(F.col("component") != F.col("h_component"))
+        still = placed.join(heads, ["shingle", "salt"])  # members of lists that aren't one component yet
+        others = still.where(F.col("component") != F.col("h_component"))
         if turn < star_rounds:
             near = _may_link(F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"), percent)
             pairs = others.where(near).select(F.least("h_key", "set_key").alias("a"), F.greatest("h_key", "set_key").alias("b"))
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
             # Sizes that may link differ by one step of this scale at most, so that a list is dealt out by size too.
             step = lambda n: F.floor(F.log(n) / math.log(100 / percent) if percent < 100 else n).cast("long")
             others = others.withColumn("step", step(F.col("n")))
-            mates = placed.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("set_key", "component", "n", "at")), F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
+            mates = still.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("set_key", "component", "n", "at")), F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
             near = _may_link(F.col("n"), F.col("at"), F.col("m_n"), F.col("m_at"), percent)
             once = (F.col("m_component") == F.col("h_component")) | (F.col("set_key") < F.col("m_set_key"))
             met = others.join(mates, ["shingle", "step"]).where((F.col("component") != F.col("m_component")) & once & near)
