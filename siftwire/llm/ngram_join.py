@@ -145,18 +145,23 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose Jaccard similarity is at least ``percent``; only their texts are read again."""
-    of = lambda name: classes.select(F.col("set_key").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    """The pairs (a, b) of class nodes whose Jaccard similarity is at least ``percent``; only their texts are read again.
+
+    The sets of a go to those of b, so a pair costs least where b stands in many pairs. A set of b is taken once,
+    however often its row repeats.
+    """
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"), F.col("set_key").alias(f"k_{name}"))
     most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
     may = F.coalesce((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
-    pairs = checkpointed(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"))
-    asked = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sets = stored(whole_sets(docs, classes.join(sized(asked), "set_key", "left_semi"), width), "sets")
-    both = (
-        pairs.join(sets.select(F.col("set_key").alias("a"), F.col("members").alias("left")), "a")
-        .join(sets.select(F.col("set_key").alias("b"), F.col("members").alias("right")), "b")
-        .select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
-    )
+    pairs = checkpointed(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b", "k_a", "k_b"))
+
+    def sets(name: str) -> DataFrame:
+        asked = sized(pairs.select(F.col(name).alias("node")).distinct())
+        return whole_sets(docs, classes.join(asked, "node", "left_semi"), width)
+
+    left = sets("a").withColumnsRenamed({"set_key": "k_a", "members": "left"}).join(sized(pairs), "k_a").select("a", "b", "k_b", "left")
+    right = sets("b").groupBy(F.col("set_key").alias("k_b")).agg(F.first("members").alias("right"))
+    both = left.join(right, "k_b").select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b").distinct()
 
 
@@ -196,48 +201,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     ``component_id`` is the smallest doc_id that links reach, the row's own included.
     """
     signed = stored(signatures(docs, width, percent), "signatures")
-    classes = stored(signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    # A class is named by a number from here on; the numbers are written once and read from then on.
+    classes = signed.where("n > 0").groupBy("set_key", "group_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     # Classes with the same prefix and size meet under their group's key.
     own = classes.groupBy("group_key", "n").agg(F.count("*").alias("classes")).where("classes > 1").select("group_key", "n", F.lit(0).alias("at"), F.col("group_key").alias("shingle"), (F.col("classes") >= HOT).alias("hot"))
     lists = candidate_lists(signed).unionByName(own)
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).cast("int")).otherwise(0)
-    rows = stored(lists.join(classes.select("group_key", "set_key"), "group_key").withColumn("salt", salt), "members")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = stored(lists.join(classes.select("group_key", "node"), "group_key").withColumn("salt", salt).drop("group_key"), "members")
 
     links = None
     labels = None
     for turn in range(star_rounds + 1):
-        placed = rows if labels is None else rows.join(labels, F.col("set_key") == F.col("node"), "left").drop("node")
-        placed = placed.withColumn("component", F.coalesce("component", "set_key") if labels is not None else F.col("set_key"))
+        placed = rows if labels is None else rows.join(labels, "node", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node"))
         # The member with the fewest rarer shingles, an original among its copies; then by a seeded hash.
         # Lists that are one component by now are done.
-        draw = F.xxhash64(F.lit(turn), "set_key")
-        lead = F.struct(F.struct(F.when(F.lit(turn == 0), F.col("at")).otherwise(0), draw).alias("draw"), *(F.col(c) for c in ("set_key", "component", "n", "at")))
+        draw = F.xxhash64(F.lit(turn), "node")
+        lead = F.struct(F.struct(F.when(F.lit(turn == 0), F.col("at")).otherwise(0), draw).alias("draw"), *(F.col(c) for c in ("node", "component", "n", "at")))
         heads = (
             placed.groupBy("shingle")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"), F.max("hot").alias("hot"))
             .where("low <> high")
             .select("shingle", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))), "head.*")
-            .toDF("shingle", "salt", "draw", "h_key", "h_component", "h_n", "h_at")
+            .toDF("shingle", "salt", "draw", "h_node", "h_component", "h_n", "h_at")
+            .drop("draw")
         )
         still = placed.join(heads, ["shingle", "salt"])  # members of lists that aren't one component yet
         others = still.where(F.col("component") != F.col("h_component"))
         if turn < star_rounds:
             near = _may_link(F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"), percent)
-            pairs = others.where(near).select(F.least("h_key", "set_key").alias("a"), F.greatest("h_key", "set_key").alias("b"))
+            pairs = others.where(near).select(F.col("node").alias("a"), F.col("h_node").alias("b"))
         else:  # every pair of members in different components, one of them outside the head's
             # Sizes that may link differ by one step of this scale at most, so that a list is dealt out by size too.
             step = lambda n: F.floor(F.log(n) / math.log(100 / percent) if percent < 100 else n).cast("long")
-            others = others.withColumn("step", step(F.col("n")))
-            mates = still.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("set_key", "component", "n", "at")), F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
+            others = others.select("shingle", "node", "component", "n", "at", "h_component", F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
+            mates = still.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "component", "n", "at")), step(F.col("n")).alias("step"))
             near = _may_link(F.col("n"), F.col("at"), F.col("m_n"), F.col("m_at"), percent)
-            once = (F.col("m_component") == F.col("h_component")) | (F.col("set_key") < F.col("m_set_key"))
+            once = (F.col("m_component") == F.col("h_component")) | (F.col("node") < F.col("m_node"))
             met = others.join(mates, ["shingle", "step"]).where((F.col("component") != F.col("m_component")) & once & near)
-            pairs = met.select(F.least("set_key", "m_set_key").alias("a"), F.greatest("set_key", "m_set_key").alias("b"))
+            pairs = met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
         new = checkpointed(_verified(docs, pairs, classes, width, percent))
         links = new if links is None else links.unionByName(new)
         labels = checkpointed(components(links, "a", "b"))
 
-    named = classes.join(labels, F.col("set_key") == F.col("node"), "left").select("set_key", "doc_id", F.coalesce("component", "set_key").alias("component"))
+    named = classes.join(labels, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = named.select("set_key", "component").join(smallest, "component").select("set_key", "component_id")
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(found, "set_key", "left")
