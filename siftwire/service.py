@@ -31,6 +31,12 @@ def accumulated(snapshot: DataFrame, digest: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(digest.select("digest").limit(1)))
 
 
+def poll(scored: DataFrame, snapshot: DataFrame, digest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``counts``, ``top`` and ``accumulated`` of one state: the scored items are read once and stored for all of them."""
+    once = stored(scored.select("seq", "source", "title", "score"), "poll")
+    return counts(once), top(once), accumulated(snapshot, digest)
+
+
 def compose(scored: DataFrame, config: PipelineConfig, reply: str | None = None, model: Callable[[], enrich.Model] | None = None) -> DataFrame:
     """The digest of scored items with summaries: a reply that is there already, else the model's."""
     selected = items.selection(scored, config.per_source)

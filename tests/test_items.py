@@ -1,11 +1,12 @@
 import math
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from siftwire import service
 from siftwire.config import PipelineConfig
 from siftwire.functions import text as T
-from siftwire.operators import cycles, enrich, items, logs
+from siftwire.operators import cycles, enrich, items, lifecycle, logs
 
 NOW = 1_704_067_200
 SCORED = "seq long, source string, id string, title string, body string, timestamp long, relevance_score int"
@@ -114,6 +115,48 @@ def test_logs(spark):
     assert logs.latest_segment(segments.where("path = 'd.tmp'")).first()["digest"] == ""
 
 
+def test_segments_expire_by_number_and_age(spark):
+    rows = [(f"d.{i}", "d", i, float(i)) for i in range(1, 11)]
+    segments = spark.createDataFrame(rows, "path string, log string, number long, written double")
+
+    def gone(*rules):
+        return sorted(r["number"] for r in logs.expired(segments, *rules).collect())
+
+    assert gone(3, 5.0, 0.0, 12.0) == [1, 2, 3, 4, 5, 6, 7]
+    assert gone(3, 100.0, 0.0, 12.0) == []
+    assert gone(3, 100.0, 0.0, 12.0, 1, 0) == [1, 2, 3, 4]
+    assert gone(3, 100.0, 0.0, 12.0, 1, 8) == [1, 2]
+    assert gone(9, 0.0, 1.0, 99.0, 4) == [1, 2, 3, 4, 5, 6]
+
+
+def test_digests_are_numbered_and_old_ones_go(spark, tmp_path):
+    folder = str(tmp_path / "digests")
+    assert logs.digests(spark, folder).count() == 0
+    for i in range(1, 5):
+        assert logs.append_digest(spark.createDataFrame([(f"# {i}\n\n- x\n",)], "digest string"), folder, float(i), keep=2, least=1) == i
+    kept = logs.digests(spark, folder)
+    assert sorted(r["number"] for r in kept.collect()) == [3, 4]
+    numbered = kept.select(F.concat(F.lit("d."), "number").alias("path"), "content")
+    assert logs.latest_segment(numbered).first()["digest"] == "# 4\n\n- x\n"
+
+
+def test_states_are_counted_on_the_way(spark):
+    rows = spark.createDataFrame([(1, 7, "pass"), (2, None, "bypass"), (3, 0, "pass"), (4, 1, None)], "seq long, relevance_score int, decision string")
+    seen = Observation("states")
+    out = lifecycle.observed(rows, seen, lifecycle.of_summaries() | lifecycle.of_decisions(["pass", "bypass"]) | lifecycle.of_digests())
+    assert sorted(r["seq"] for r in out.collect()) == [1, 2, 3, 4]
+    assert seen.get == {"SUMMARIZED": 3, "FAILED": 1, "GATED:pass": 2, "GATED:bypass": 1, "RECEIVED": 4, "COMPOSED": 4}
+
+
+def test_a_poll_reads_one_state(spark):
+    scored = spark.createDataFrame([(1, "b", "x", 2.0), (2, "a", None, 3.0), (3, "b", "y", 5.0)], "seq long, source string, title string, score double")
+    snapshot = spark.createDataFrame([(3, 2, 2)], "items long, done long, total long")
+    counted, best, state = service.poll(scored, snapshot, spark.createDataFrame([("d",)], "digest string"))
+    assert [tuple(r) for r in counted.collect()] == [("b", 2), ("a", 1)]
+    assert sorted((r["source"], r["rank"], r["title"]) for r in best.collect()) == [("a", 1, ""), ("b", 1, "y"), ("b", 2, "x")]
+    assert tuple(state.first()) == (3, 2, 2, True, True, "d")
+
+
 def test_config_round_trip():
     config = PipelineConfig().with_added("repos", " a/b ").with_added("profile", "x").with_added("profile", "y").with_value("config_version", " v2 ")
     assert PipelineConfig.from_dict(config.to_dict()) == config and config.relevance_profile == "x\ny" and config.repos == ("a/b",)
