@@ -2,8 +2,9 @@
 
 Training (``fit``): the presence of hashed character n-grams is counted per class on labelled rows, each
 n-gram gets its log-count ratio, the n-grams whose ratio is most significant are kept, and a logistic
-regression is fitted on the kept presences times their ratios. Scoring (``score``) is one narrow pass over
-whole texts.
+regression is fitted on the kept n-grams: how dense each is in the text, on a logarithmic scale, times its
+ratio. Density tells a text that dwells on telling words from a long one that meets them by chance. Scoring
+(``score``) is one narrow pass over whole texts.
 
 Defined results: a null text counts as empty and gets the score of an empty text; a null or unknown label
 is no training row; several labels of one doc_id count as toxic if any of them is; rows may repeat; with no
@@ -20,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from siftwire.llm.memory import portions, released
 
 #: Code points hashed at once; longer texts are taken in overlapping pieces, none is cut off.
 PIECE = 1 << 18
+#: An n-gram's density is its places for each ``PER`` code points; ``PRIOR`` code points are added to every text.
+PER, PRIOR = 1000.0, 200.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -54,23 +57,24 @@ def _code_points(text: str | None) -> np.ndarray:
     return np.concatenate(([32], np.where(points < 32, 32, points), [32])).astype(np.uint64)
 
 
-def _pieces(texts: Iterable[str | None], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points of several texts, a zero after each, with the row number of every position."""
-    points: list[np.ndarray] = []
-    rows: list[np.ndarray] = []
+def _pieces(texts: Iterable[str | None], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of several texts, a zero after each, with the row of every position and whether n-grams may begin there.
+
+    A piece of a long text goes on over the start of the next one, so that every n-gram is whole in the piece it begins in.
+    """
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for row, text in enumerate(texts):
         own = _code_points(text)
-        for start in range(0, max(1, len(own) - longest + 1), PIECE):
+        for start in range(0, len(own), PIECE):
             part = np.append(own[start : start + PIECE + longest - 1], np.uint64(0))
-            points.append(part)
-            rows.append(np.full(len(part), row, np.int32))
+            parts.append((part, np.full(len(part), row, np.int32), np.arange(len(part)) < PIECE))
             size += len(part)
             if size >= PIECE:
-                yield np.concatenate(points), np.concatenate(rows)
-                points, rows, size = [], [], 0
+                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                parts, size = [], 0
     if size:
-        yield np.concatenate(points), np.concatenate(rows)
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _grams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,8 +99,9 @@ def _count_udf(orders: tuple[int, ...], bits: int):
 
     def added(totals: np.ndarray, texts: list[str | None], toxic: np.ndarray) -> None:
         before = np.zeros(0, np.int64)  # keys of the text in which the last piece ended
-        for points, rows in _pieces(texts, max(orders)):
-            keys = _distinct(np.concatenate([(rows[: len(b)][ok].astype(np.int64) << bits) | b[ok] for b, ok in _grams(points, orders, bits)]))
+        for points, rows, begins in _pieces(texts, max(orders)):
+            found = [(b, np.flatnonzero(ok & begins[: len(b)])) for b, ok in _grams(points, orders, bits)]
+            keys = _distinct(np.concatenate([(rows[at].astype(np.int64) << bits) | b[at] for b, at in found]))
             new = keys[~np.isin(keys, before)] if len(before) else keys
             np.add.at(totals, (toxic[new >> bits] << bits) | (new & ((1 << bits) - 1)), 1)
             before = np.concatenate((before[before >> bits == rows[-1]], new[new >> bits == rows[-1]]))
@@ -115,16 +120,23 @@ def _count_udf(orders: tuple[int, ...], bits: int):
     return count
 
 
-def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, kept n-gram) pairs of the texts, n-grams numbered from 0."""
-    found = []
-    for points, rows in _pieces(texts, max(orders)):
+def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, kept n-gram, log of 1 + density) of the texts, each pair once, by rows; n-grams numbered from 0."""
+    found, places = [], []
+    for points, rows, begins in _pieces(texts, max(orders)):
         for buckets, ok in _grams(points, orders, bits):
             kept = slot[buckets]
-            at = np.flatnonzero((kept >= 0) & ok)
-            found.append((rows[at].astype(np.int64) << 32) | kept[at])
-    keys = _distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return keys >> 32, keys & 0xFFFFFFFF
+            at = np.flatnonzero((kept >= 0) & ok & begins[: len(buckets)])
+            keys, times = np.unique((rows[at].astype(np.int64) << 32) | kept[at], return_counts=True)
+            found.append(keys)
+            places.append(times)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keys, own = np.unique(np.concatenate(found), return_inverse=True)
+    times = np.bincount(own, np.concatenate(places), minlength=len(keys))
+    length = np.array([len(x or "") for x in texts], float)
+    row = keys >> 32
+    return row, keys & 0xFFFFFFFF, np.log1p(PER * times / (length[row] + PRIOR))
 
 
 def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
@@ -134,15 +146,16 @@ def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _feature_udf(buckets: np.ndarray, orders: tuple[int, ...], bits: int):
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("struct<at:array<int>,value:array<double>>")
     @released
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slot = _slots(buckets, bits)
         for batch in batches:
             for part in portions(batch, batch):
-                rows, kept = _hits(part.to_pylist(), slot, orders, bits)
-                ends = np.searchsorted(rows, np.arange(len(part) + 1))
-                yield pa.array([kept[a:b].astype(str).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.string()))
+                rows, kept, dense = _hits(part.to_pylist(), slot, orders, bits)
+                ends = pa.array(np.searchsorted(rows, np.arange(len(part) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(kept, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(dense))]
+                yield pa.StructArray.from_arrays(lists, ["at", "value"])
 
     return features
 
@@ -193,12 +206,14 @@ def fit(
     buckets = np.array([b for b, _ in kept], np.int64)
     ratios = np.array([r for _, r in kept])
 
-    rows = train.select(F.col("toxic").cast("double").alias("label"), _feature_udf(buckets, orders, bits)("text").alias("grams")).persist()
+    size = len(kept)
+    vector = F.udf(lambda found: Vectors.sparse(size, found["at"], found["value"]), VectorUDT())
+    grams = train.select(F.col("toxic").cast("double").alias("label"), _feature_udf(buckets, orders, bits)("text").alias("grams"))
+    rows = grams.select("label", vector("grams").alias("dense")).persist()
     try:
         model = Pipeline(
             stages=[
-                CountVectorizerModel.from_vocabulary([str(i) for i in range(len(kept))], "grams", "presence", minTF=1.0),
-                ElementwiseProduct(scalingVec=Vectors.dense(ratios.tolist()), inputCol="presence", outputCol="scaled"),
+                ElementwiseProduct(scalingVec=Vectors.dense(ratios.tolist()), inputCol="dense", outputCol="scaled"),
                 LogisticRegression(featuresCol="scaled", labelCol="label", regParam=regularisation, maxIter=30, standardization=False),
             ]
         ).fit(rows)
@@ -217,8 +232,10 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str
         slot = _slots(model.buckets, model.bits)
         for batch in batches:
             for part in portions(batch, batch):
-                rows, kept = _hits(part.to_pylist(), slot, model.orders, model.bits) if len(model.buckets) else (np.zeros(0, np.int64),) * 2
-                total = model.bias + np.bincount(rows, model.weights[kept] if len(kept) else None, minlength=len(part))
+                total = np.full(len(part), model.bias)
+                if len(model.buckets):
+                    rows, kept, dense = _hits(part.to_pylist(), slot, model.orders, model.bits)
+                    total += np.bincount(rows, model.weights[kept] * dense, minlength=len(part))
                 yield pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))
 
     return docs.withColumn(output, toxicity(F.coalesce(F.col(text), F.lit(""))))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -74,7 +75,41 @@ def test_ratios_and_scores_are_those_of_the_formula(spark):
     model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"), bits=16)
     kept = {int(b): float(w) for b, w in zip(model.buckets, model.weights, strict=True)}
     for row in toxicity.score(table, model, output="p").collect()[:40]:
-        found = set()
+        found = Counter()
         for buckets, ok in toxicity._grams(toxicity._code_points(row["text"]), model.orders, model.bits):
-            found |= set(buckets[ok].tolist())
-        assert abs(row["p"] - 1 / (1 + np.exp(-(model.bias + sum(kept.get(b, 0.0) for b in found))))) < 1e-9
+            found.update(buckets[ok].tolist())
+        dense = {b: np.log1p(1000 * n / (len(row["text"]) + 200)) for b, n in found.items()}
+        assert abs(row["p"] - 1 / (1 + np.exp(-(model.bias + sum(kept.get(b, 0.0) * x for b, x in dense.items()))))) < 1e-9
+
+
+def test_densities_of_long_texts_are_those_of_a_plain_loop(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "PIECE", 50)
+    orders, bits, rng = (2, 3, 5), 12, random.Random(1)
+    texts = ["".join(rng.choices("abc ", k=n)) for n in (0, 1, 46, 47, 48, 49, 50, 51, 97, 98, 99, 100, 101, 230)] + [None]
+    slot = np.arange(1 << bits, dtype=np.int32)
+    rows, kept, dense = toxicity._hits(texts, slot, orders, bits)
+    got = {(int(r), int(k)): d for r, k, d in zip(rows, kept, dense, strict=True)}
+    want = {}
+    for row, text in enumerate(texts):
+        found = Counter()
+        for buckets, ok in toxicity._grams(toxicity._code_points(text), orders, bits):
+            found.update(buckets[ok].tolist())
+        want |= {(row, b): np.log1p(1000 * n / (len(text or "") + 200)) for b, n in found.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_long_clean_texts_that_meet_a_word_by_chance(spark):
+    """A word that every toxic text dwells on and long clean texts hold once."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 7))) for _ in range(200)]
+    rows = []
+    for i in range(400):
+        text = rng.choices(words, k=60 if i % 2 else 600)
+        for _ in range(3 if i % 2 else 1):
+            text.insert(rng.randrange(len(text)), "plozz" + rng.choice(words))
+        rows.append((i, " ".join(text), i % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.classify(table.select("doc_id", "text"), table.select("doc_id", "toxic")).join(table.select("doc_id", "toxic"), "doc_id").where("held_out")
+    assert got.where("predicted = toxic").count() / got.count() > 0.95
