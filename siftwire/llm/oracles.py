@@ -59,3 +59,42 @@ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id"""
+
+_QUANTISED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
+_USABLE = "embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)"
+_SCORE = "coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])), 0)::BIGINT"
+
+#: Every anchor with all rows.
+OP11 = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_QUANTISED} AS e FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, {_SCORE} AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, positive_id ORDER BY s.s DESC, s.b)::INTEGER AS rank, s.b AS negative_id, positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * positive_score <= 100 * s.s AND 100 * s.s <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, positive_id ORDER BY s.s DESC, s.b) <= 5"""
+
+#: Every query with all rows.
+OP13 = f"""WITH v AS (SELECT vec_id, {_QUANTISED} AS e FROM embeddings WHERE {_USABLE})
+SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SCORE} DESC, b.vec_id)::INTEGER AS rank, b.vec_id, {_SCORE} AS score
+FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SCORE} DESC, b.vec_id) <= 5"""
+
+#: Bytes of a decimal number, then eight steps each: the checksum's polynomial, bit by bit.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, 4294967295::BIGINT), 4294967295)"""
+
+#: Every prefix of every conversation as a text of hashes, and every node with all that are above it.
+OP12 = rf"""WITH t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS pos FROM t),
+h AS (SELECT c, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+lent AS (SELECT h.c, o.k, o.w, o.pos FROM h JOIN o ON o.c = h.c - h.c % 20 WHERE o.pos < h.h),
+n AS (SELECT c, count(*) AS n FROM lent GROUP BY c),
+r AS (FROM lent UNION ALL SELECT o.c, o.k, o.w, o.pos - h.h + coalesce(n.n, 0) FROM o JOIN h USING (c) LEFT JOIN n USING (c) WHERE o.pos >= h.h),
+s AS (SELECT h.c, coalesce(list(r.k ORDER BY r.pos) FILTER (WHERE r.k IS NOT NULL), []) AS k, coalesce(list(r.w ORDER BY r.pos) FILTER (WHERE r.k IS NOT NULL), []) AS w FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+m AS (SELECT c, len(k) AS n, d, array_to_string(k[1:d], '/') AS p, CASE WHEN d > 0 THEN array_to_string(k[1:d - 1], '/') END AS up, k[1:d] AS path, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM s)),
+x AS (SELECT d, p, up, min(c) AS low, count(*) AS n, max(w) AS w, any_value(path) AS path, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM m GROUP BY d, p, up),
+k AS (SELECT up, d, count(*) AS n FROM x WHERE d > 0 GROUP BY up, d),
+y AS (SELECT x.*, coalesce(k.n, 0) AS children FROM x LEFT JOIN k ON k.up = x.p AND k.d = x.d + 1),
+z AS (SELECT above, array_to_string(path[1:above], '/') AS p, sum((children = 0)::INTEGER)::BIGINT AS leaves, sum((n - 1) * w)::BIGINT AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS above FROM y) GROUP BY above, 2)
+SELECT y.low AS conv_id, y.d AS depth, u.low AS parent_conv_id, y.n AS n_convs, y.children AS n_children, z.leaves AS n_leaves, z.saved AS saved_tokens, sha256(y.ends) AS ends_sha256
+FROM y JOIN z ON z.above = y.d AND z.p = y.p LEFT JOIN y u ON u.d = y.d - 1 AND u.p = y.up"""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, chat_format, embed_dedup, html_extract, license_scan, mixing, ngram_join, oracles, quality, secret_scan, toxicity
+from siftwire.llm import bpe, chat_format, embed_dedup, exact_search, hard_negatives, html_extract, license_scan, mixing, ngram_join, oracles, prefix_trie, quality, secret_scan, toxicity
 from siftwire.llm.sized import sized
+from siftwire.session import stored
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,24 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.encoded(_read(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    sequences = stored(prefix_trie.rebuilt(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4), "rebuilt")
+    return prefix_trie.trie(sequences, turns.select("conv_id").distinct())
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
 
@@ -114,9 +133,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_ngram_join": op9_ngram_join,
         "op10_html_extract": op10_html_extract,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_exact_search": op13_exact_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": oracles.op5(), "op7_embedding_dedup": oracles.OP7, "op9_ngram_join": oracles.OP9}
+    return {
+        "op5_license_scan": oracles.op5(),
+        "op7_embedding_dedup": oracles.OP7,
+        "op9_ngram_join": oracles.OP9,
+        "op11_hard_negatives": oracles.OP11,
+        "op12_prefix_trie": oracles.OP12,
+        "op13_exact_search": oracles.OP13,
+    }

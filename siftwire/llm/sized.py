@@ -9,4 +9,4 @@ BROADCAST_ROWS = 1_000_000
 
 def sized(narrow: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``narrow`` marked for broadcast if it has at most ``bound`` rows; beyond that the join shuffles."""
-    return F.broadcast(narrow) if narrow.count() <= bound else narrow
+    return F.broadcast(narrow) if narrow.limit(bound + 1).count() <= bound else narrow
