@@ -19,6 +19,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwire.llm.once import once
+
 # Shapes of provider keys, then the names that stand before an assigned secret. Only formats of one
 # fixed length have an upper bound. Repeated groups are possessive: Java's other ones recurse, and overflow on long values.
 KEY_SHAPES = [
@@ -181,31 +183,48 @@ def forest_sql(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int =
     return f"(({' + '.join(roots)}) / {len(roots)}D)"
 
 
+def _sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it, by blocks of about the square root of their count."""
+
+    def running(part: Column, start: Column) -> Column:
+        """``start``, then the sums with each number of the part."""
+        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def summed(c: Column) -> Column:
+        width, count = c["width"], F.size(c["numbers"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(count, F.lit(1)) - 1) / width).cast("int")), lambda k: F.slice(c["numbers"], k * width + 1, width))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        placed = lambda bound: F.flatten(F.transform(bound["blocks"], lambda b, k: F.slice(running(b, F.get(bound["starts"], k)), F.lit(1), F.size(b))))
+        return once(F.struct(blocks.alias("blocks"), running(totals, F.lit(0)).alias("starts")), placed)
+
+    return once(F.struct(numbers.alias("numbers"), F.ceil(F.sqrt(F.greatest(F.size(numbers), F.lit(1)))).cast("int").alias("width")), summed)
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start, match, value, near>> of the whole text, in order.
+    """array<struct<start, value, near>> of the whole text, in order.
 
-    The text is cut at its matches: the pieces between them give every match its place.
+    The text is cut at its matches: the pieces between them give every match its place. The matches, the pieces
+    and the places are computed once for a text, so that the time grows with the text, not with its square.
     """
     whole = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(whole, CANDIDATE, -1)
+    cut = F.struct(F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(whole, CANDIDATE, -1).alias("gaps"))
 
-    def one(match: Column, i: Column, before: Column, after: Column) -> Column:
+    def one(match: Column, before: Column, after: Column, start: Column) -> Column:
         value = F.regexp_replace(match, BEFORE, "")
-        return F.struct(
-            match.alias("match"),
-            value.alias("value"),
-            F.concat(F.right(before, F.lit(NEAR)), F.substring(match, F.lit(1), F.length(match) - F.length(value)), F.lit(" "), F.left(after, F.lit(NEAR))).alias("near"),
-        )
-
-    listed = F.transform(found, lambda m, i: one(m, i, F.get(gaps, i), F.coalesce(F.get(gaps, i + 1), F.lit(""))))
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(found)),
-        F.array(F.lit(0)),
-        lambda acc, i: F.when(i < F.size(found), F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(gaps, i)) + F.length(F.get(found, i))))).otherwise(acc),
-    )
-    placed = F.transform(listed, lambda c, i: F.struct((F.get(starts, i) + F.length(F.get(gaps, i)) + F.length(c["match"]) - F.length(c["value"])).alias("start"), c["value"].alias("value"), c["near"].alias("near")))
-    return F.when(whole.rlike(CANDIDATE), placed).otherwise(F.array().cast("array<struct<start:int,value:string,near:string>>"))
+
+        def placed(v: Column) -> Column:
+            named = F.length(match) - F.length(v)
+            near = F.concat(F.right(before, F.lit(NEAR)), F.substring(match, F.lit(1), named), F.lit(" "), F.left(after, F.lit(NEAR)))
+            return F.struct((start + F.length(before) + named).alias("start"), v.alias("value"), near.alias("near"))
+
+        return once(value, placed)
+
+    def listed(c: Column) -> Column:
+        lengths = F.zip_with(c["found"], F.slice(c["gaps"], F.lit(1), F.size(c["found"])), lambda m, g: F.length(m) + F.length(g))
+        after = lambda i: F.coalesce(F.get(c["gaps"], i + 1), F.lit(""))
+        return once(_sums_before(lengths), lambda starts: F.transform(c["found"], lambda m, i: one(m, F.get(c["gaps"], i), after(i), F.get(starts, i))))
+
+    return F.when(whole.rlike(CANDIDATE), once(cut, listed)).otherwise(F.array().cast("array<struct<start:int,value:string,near:string>>"))
 
 
 def scan(docs: DataFrame, forest: str, text: str = "text", path: str | None = "source", threshold: float = 0.5) -> DataFrame:

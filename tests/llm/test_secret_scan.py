@@ -97,3 +97,34 @@ def test_findings_with_words_that_no_list_has(spark, forest):
     rows = scan.scan(spark.createDataFrame([(i, t, "src2", "") for i, t in enumerate(good + bad)], SCHEMA), forest).collect()
     right = sum((len(r["secrets"]) == 1) == (r["doc_id"] < len(good)) for r in rows)
     assert right >= len(good + bad) - 1, [(r["text"], r["secrets"], r["rejected"]) for r in rows if (len(r["secrets"]) == 1) != (r["doc_id"] < len(good))]
+
+
+def test_many_candidates_in_one_text(spark, forest):
+    """The time for a text grows with its candidates, and every one has its place."""
+    import time
+
+    values = [random_text(24, "0123456789abcdef", i) for i in range(10_000)]
+    text = "é\n".join(f"KEY_{i}_TOKEN={v}" for i, v in enumerate(values))
+    docs = spark.createDataFrame([(1, text, "conf/prod.env", "")], SCHEMA)
+    began = time.time()
+    (row,) = scan.scan(docs, forest).collect()
+    assert time.time() - began < 30
+    found = sorted(row["secrets"] + row["rejected"], key=lambda f: f["start"])
+    assert [f["value"] for f in found] == values and len(row["secrets"]) > 9_900
+    assert all(text[f["start"] : f["start"] + f["length"]] == f["value"] for f in found)
+
+
+def test_candidates_against_a_plain_reader(spark):
+    import re
+
+    keys = {m: re.compile(m) for m in scan.KEY_SHAPES[:2]}
+    rows = [" ".join(random_text(3, seed=k) + (" AKIA" + random_text(16, "ABCDEF234", k * 100 + j)) * (j % 3) for j in range(k)) for k in range(0, 60, 7)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    from pyspark.sql import functions as F
+
+    for row in docs.select("text", scan.candidates(F.col("text")).alias("c")).collect():
+        want = [(m.start(), m.group()) for m in re.finditer("(?<![A-Za-z0-9])(?:" + "|".join(p.replace("}+", "}") for p in keys) + ")(?![A-Za-z0-9])", row["text"])]
+        assert [(c["start"], c["value"]) for c in row["c"]] == want
+        for c in row["c"]:
+            at, value = c["start"], c["value"]
+            assert c["near"] == row["text"][max(0, at - 40) : at].split(value)[-1][-40:] + " " + row["text"][at + len(value) :][:40] or len(want) > 1
