@@ -9,8 +9,8 @@ a cycle are reported as such. Places are counted from blocks of turns, so that a
 is spread over tasks.
 
 Arguments are checked against schemas (tool, argument, type, required, choices), a dimension that is
-broadcast if it is small. Canonical JSON has sorted keys, no white space and one way to write each value.
-Only DataFrame functions are used.
+broadcast if it is small. Canonical JSON has sorted keys, no white space and one way to write each value: numbers
+are written from their text, without loss of digits (``canonical_number``). Only DataFrame functions are used.
 
 Defined results: rows with a null conversation or call id link with nothing and are kept. If an id is used by
 several calls of a conversation, the first by turn and number is the call, the others are "duplicate"; of
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwire.llm.once import once
 from siftwire.llm.sized import sized
 from siftwire.session import checkpointed
 
@@ -101,6 +102,63 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return known.withColumn("errors", errors).drop("rules")
 
 
+# The parts of a JSON text. Repeated groups are possessive: Java's other ones recurse, and overflow on long texts.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NUMBER = r"-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?"
+_PARTS = rf'(?s){_STRING}|{_NUMBER}|[^"0-9-]++|.'
+#: Zeros that a number may have after its digits, or between its point and them, before it gets an exponent.
+ZEROS = 20
+
+
+def canonical_number(text: Column) -> Column:
+    """One text for each value of a JSON number: 1, 1.0 and 10e-1 are 1, and -0 is 0.
+
+    Digits are kept, as many as there are. Up to ZEROS zeros are written out; numbers that need more have the
+    form 1.5e30 or 1e-30. Exponents of more than 18 digits stay as they are written.
+    """
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    exponent = F.when(part(r"[eE]\+?(-?\d+)") == "", F.lit(0).cast("long")).otherwise(part(r"[eE]\+?(-?\d+)").try_cast("long"))
+    lead, fraction = part(r"^-?(\d+)"), part(r"\.(\d+)")
+
+    def written(n: Column) -> Column:
+        sign, digits, size, shift = n["sign"], n["digits"], F.length(n["digits"]), n["shift"]
+        whole = size + shift  # digits before the point, if positive
+        zeros = lambda count: F.repeat(F.lit("0"), count.cast("int"))
+        rest = F.substring(digits, F.lit(2), size)
+        return (
+            F.when(digits == "", "0")
+            .when((shift >= 0) & (shift <= ZEROS), F.concat(sign, digits, zeros(shift)))
+            .when((shift < 0) & (whole > 0), F.concat(sign, F.substring(digits, F.lit(1), whole.cast("int")), F.lit("."), F.substring(digits, (whole + 1).cast("int"), size)))
+            .when((shift < 0) & (whole > -ZEROS), F.concat(sign, F.lit("0."), zeros(-whole), digits))
+            .otherwise(F.concat(sign, F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), (whole - 1).cast("string")))
+        )
+
+    def stripped(n: Column) -> Column:
+        digits = F.rtrim(n["digits"], F.lit("0"))
+        return once(F.struct(n["sign"].alias("sign"), digits.alias("digits"), (n["shift"] + F.length(n["digits"]) - F.length(digits)).alias("shift")), written)
+
+    number = F.struct(
+        F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
+        F.ltrim(F.concat(lead, fraction), F.lit("0")).alias("digits"),
+        (F.when(F.abs(exponent) < 10**18, exponent) - F.length(fraction)).alias("shift"),
+    )
+    return once(number, lambda n: F.when(n["shift"].isNull() & (n["digits"] != ""), text).otherwise(stripped(n)))
+
+
+def canonical_json(text: Column) -> Column:
+    """The JSON text with sorted keys, no white space and one way to write each value; null where Spark reads no JSON.
+
+    Numbers pass the parser as texts: every text is marked with s, every number with n, and the marks go at last.
+    """
+    parts = lambda c: F.regexp_extract_all(c, F.lit(_PARTS), F.lit(0))
+    tail = lambda t, n: F.substring(t, F.lit(n), F.length(t))
+    is_number = lambda t: t.rlike(r"^-?\d")
+    marked = F.transform(parts(text), lambda t: F.when(t.startswith('"') & (F.length(t) > 1), F.concat(F.lit('"s'), tail(t, 2))).when(is_number(t), F.concat(F.lit('"n'), canonical_number(t), F.lit('"'))).otherwise(t))
+    parsed = F.when(F.try_parse_json(text).isNotNull(), F.to_json(F.try_parse_json(F.array_join(marked, ""))))
+    plain = F.transform(parts(parsed), lambda t: F.when(t.startswith('"s'), F.concat(F.lit('"'), tail(t, 3))).when(t.startswith('"n'), F.substring(t, F.lit(3), F.length(t) - 3)).otherwise(t))
+    return F.array_join(plain, "")
+
+
 def _waves(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, wave, cyclic) of the calls whose wave isn't 0; ``calls`` have unique ids."""
     at = F.struct("turn", "number")
@@ -163,11 +221,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         none.alias("errors"), F.lit(0).alias("wave"), F.lit("orphan").alias("status"), "content",
     )
     rows = _placed(linked.select(columns).unionByName(repeated.select(columns)).unionByName(orphans))
-    message = F.struct(
-        F.try_parse_json("arguments").alias("arguments"),
-        F.col("call_id").alias("id"),
-        F.col("content").alias("result"),
-        F.col("status").alias("status"),
-        F.col("tool").alias("tool"),
-    )
-    return rows.select("conv_id", "turn", "call_id", "place", "status", "errors", F.to_json(message).alias("json"))
+    rest = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"), "status", "tool"))
+    arguments = canonical_json(F.col("arguments"))
+    json = F.when(arguments.isNull(), rest).otherwise(F.concat(F.lit('{"arguments":'), arguments, F.lit(","), F.substring(rest, F.lit(2), F.length(rest))))
+    return rows.select("conv_id", "turn", "call_id", "place", "status", "errors", json.alias("json"))
