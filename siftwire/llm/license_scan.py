@@ -3,10 +3,10 @@
 Base labels come from phrases whose words stand consecutively. The method adds the labels of all templates
 that a text block contains to at least a given share of the template's distinct tokens. Blocks are the lines
 of a text and the paragraphs (lines up to an empty one). The join is exact: the tokens of the templates have
-one global order, rare in the corpus first; a block that holds enough of a template's tokens must hold one
-of its first ``size - needed + 1`` tokens in that order (prefix filter), must have enough tokens (length
-filter), and from the first shared prefix token on, enough template tokens must remain (positional filter).
-What passes is verified by counting the common tokens.
+one global order, rare in the corpus first, and so have the tokens that a block shares with any template. A block
+that holds enough of a template's tokens must have enough tokens (length filter), must hold one of the template's first
+``size - needed + 1`` tokens (prefix filter), and from the first shared token on, enough tokens must remain on both
+sides, in the template and in the block (positional filter). What passes is verified by counting the common tokens.
 
 Every block and template that meet the threshold count. Some templates hold all tokens of another label's, so
 that the wider notice meets both and gets both labels.
@@ -83,8 +83,8 @@ def _tokens(text: str) -> list[str]:
     return sorted(set(re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))))
 
 
-def template_index(docs: DataFrame, templates: Mapping[str, list[str]], containment: float) -> list[tuple]:
-    """A row for each template and prefix token: token, label, tokens, needed, left.
+def template_index(docs: DataFrame, templates: Mapping[str, list[str]], containment: float) -> tuple[list[str], list[tuple]]:
+    """All tokens of the templates in order, and a row for each template and prefix token: token, label, tokens, needed, left.
 
     The order of tokens is that of their number of occurrences in the whole corpus; only the templates'
     own tokens are counted, so what comes back has a fixed size. ``left`` is the number of template tokens
@@ -96,12 +96,13 @@ def template_index(docs: DataFrame, templates: Mapping[str, list[str]], containm
     asked = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
     worded = docs.select(words(ascii_lower(F.col("text"))).alias("words"))
     count = {r["token"]: r["count"] for r in worded.select(F.explode_outer("words").alias("token")).join(asked, "token").groupBy("token").count().collect()}
+    order = sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
     rows = []
     for label, tokens in sets:
-        ordered = sorted(tokens, key=lambda t: (count.get(t, 0), t))
+        ordered = [t for t in order if t in tokens]
         needed = max(1, math.ceil(containment * len(ordered) - 1e-9))
         rows += [(t, label, ordered, needed, len(ordered) - i) for i, t in enumerate(ordered[: len(ordered) - needed + 1])]
-    return rows
+    return order, rows
 
 
 def _phrase_places(word: Column, phrases: Mapping[str, str]) -> Column:
@@ -132,21 +133,34 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def template_labels(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, containment: float = 0.95) -> DataFrame:
-    """(text_key, label, score): the templates found in each distinct text, by the text's 128-bit key.
+def template_candidates(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, containment: float = 0.95, positional: bool = True) -> DataFrame:
+    """(text_key, tokens, label, template, needed): blocks and templates that no filter rules out.
 
-    ``score`` is the largest share of the label's template tokens that one block holds.
+    ``tokens`` are those that the block shares with any template, in the global order.
     """
-    index = docs.sparkSession.createDataFrame(template_index(docs, templates, containment), INDEX)
+    order, rows = template_index(docs, templates, containment)
+    index = docs.sparkSession.createDataFrame(rows, INDEX)
     lowered = docs.select(ascii_lower(F.col("text")).alias("text"))
     # Lines, and paragraphs of more than one line.
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.contains(x, F.lit("\n")))
     blocks = lowered.select(text_key("text").alias("text_key"), F.explode_outer(F.concat(F.split("text", "\n"), paragraphs)).alias("block"))
-    tokens = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens"))
-    met = tokens.select("text_key", "tokens", F.explode_outer("tokens").alias("token")).join(F.broadcast(index), "token")
+    # In the order of the first list.
+    tokens = blocks.select("text_key", F.array_intersect(F.array(*map(F.lit, order)), words(F.col("block"))).alias("tokens"))
+    long_enough = tokens.where(F.size("tokens") >= min((needed for *_, needed, _ in rows), default=1))
+    met = long_enough.select("text_key", "tokens", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("needed"))
+    if positional:
+        # The token may not be the first shared one, but for the first one this holds.
+        met = met.where(F.least(F.col("left"), F.size("tokens") - F.col("at")) >= F.col("needed"))
+    return met.select("text_key", "tokens", "label", "template", "needed")
+
+
+def template_labels(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, containment: float = 0.95) -> DataFrame:
+    """(text_key, label, score): the templates found in each distinct text, by the text's 128-bit key.
+
+    ``score`` is the largest share of the label's template tokens that one block holds.
+    """
     common = F.size(F.array_intersect("tokens", "template"))
-    # The shared token may not be the first shared one, but for the first one both filters hold.
-    passed = met.where((F.size("tokens") >= F.col("needed")) & (F.col("left") >= F.col("needed")) & (common >= F.col("needed")))
+    passed = template_candidates(docs, templates, containment).where(common >= F.col("needed"))
     return passed.groupBy("text_key", "label").agg(F.max(common / F.size("template")).alias("score"))
 
 

@@ -79,3 +79,14 @@ def test_every_template_that_a_block_meets_is_found(spark):
         assert got[i] == sorted(cc[k] for k in want.split()), text[-90:]
     alone = scan.scan(spark.createDataFrame([(1, by, "")], SCHEMA), containment=0.6).first()
     assert "cc-by-4.0" in alone["labels"].split(",")
+
+
+def test_the_positional_filter_drops_candidates_but_no_result(spark):
+    # Blocks with a rare token of a template and enough others, but too few that come after it in the global order.
+    lines = ["the License compliance and of the software in with provided", "warranty License use compliance http www apache the a of to in", TEXTS[10], TEXTS[7], TEXTS[12]]
+    docs = spark.createDataFrame([(i, f"{line} {i % 7}", "") for i, line in enumerate(lines * 20)], SCHEMA)
+    for containment in (0.95, 0.6):
+        found = {kind: scan.template_candidates(docs, containment=containment, positional=kind) for kind in (True, False)}
+        met = {k: {(r["text_key"], r["label"], tuple(r["template"])) for r in v.where(f"size(array_intersect(tokens, template)) >= needed").collect()} for k, v in found.items()}
+        assert met[True] == met[False] and met[True]
+        assert found[True].count() < found[False].count()
