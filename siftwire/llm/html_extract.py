@@ -68,7 +68,10 @@ FEATURES = [f"tag_{t}" for t in _TAGS] + [f"token_{s}" for s in STEMS] + [
     "under_article", "under_main_token", "under_other", "under_other_token", "under_header",
 ]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([A-Za-z][^\s/>]*)?((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Text, in which a ``<`` that begins no tag stands for itself.
+_TEXT = re.compile(r"(?:[^<]+|<(?![A-Za-z/!?]))+")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -91,75 +94,153 @@ def attribute_tokens(attributes: str) -> frozenset[int]:
     return frozenset(_STEM[t] for t in (p.lower() for p in _PART.findall(values)) if t in _STEM) if values else frozenset()
 
 
+class _TagEnds:
+    """Where tags of a page end: at the first ``>`` outside of quotes.
+
+    A quote that leads to no end is remembered, and so is the last search, so that all calls together, in page
+    order, take time in proportion to the page, however many ``<`` and quotes it has that nothing closes.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.hopeless: set[int] = set()
+        self.searched = (0, -1)  # from, to: nothing special stands between
+
+    def end(self, at: int) -> int:
+        """The place of the ``>``, or -1, for a tag whose attributes begin at ``at``."""
+        page, visited = self.page, []
+        while at <= self.last:
+            if not visited and self.searched[0] <= at <= self.searched[1]:
+                place = self.searched[1]
+            else:
+                found = _SPECIAL.search(page, at)
+                place = found.start()  # there is a ``>``
+                if not visited:
+                    self.searched = (at, place)
+            if page[place] == ">":
+                return place
+            if place in self.hopeless:
+                break
+            visited.append(place)
+            closing = page.find(page[place], place + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.hopeless.update(visited)
+        return -1
+
+
+class _Open:
+    """The open elements, and where each kind of them stands."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("html", root)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+
+    def push(self, tag: str, node: Node) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of that kind, or 0."""
+        return (self.places.get(tag) or [0])[-1]
+
+    def shut_from(self, k: int) -> None:
+        for tag, _ in self.stack[k:]:
+            self.places[tag].pop()
+        while self.scopes[-1] >= k:
+            self.scopes.pop()
+        del self.stack[k:]
+
+
 def parse(page: str) -> Node:
-    """The tree of nodes. Inline elements without telling attributes belong to the node around them."""
+    """The tree of nodes. Inline elements without telling attributes belong to the node around them.
+
+    Takes time in proportion to the page, whatever stands in it.
+    """
     root = Node("html")
-    stack: list[tuple[str, Node]] = [("html", root)]
-    open_tags: Counter[str] = Counter()
+    open_, ends, unclosed = _Open(root), _TagEnds(page), set()
+    stack = open_.stack
     at, end = 0, len(page)
 
-    def shut_from(k: int) -> None:
-        open_tags.subtract(t for t, _ in stack[k:])
-        del stack[k:]
+    def add_text(raw: str) -> None:
+        node = stack[-1][1]
+        plain = html.unescape(raw) if "&" in raw else raw
+        size = len(plain) - plain.count(" ")
+        node.parts.append(plain)
+        node.text += size
+        node.linked += size if open_.last("a") else 0
+        node.words += plain.count(" ") + 1 if size else 0
+
+    def after(pattern: str, tag: str) -> re.Match | None:
+        """The first match from here on; what was once not found isn't looked for again."""
+        found = None if tag in unclosed else re.compile(pattern, re.I).search(page, at)
+        if found is None:
+            unclosed.add(tag)
+        return found
 
     while at < end:
-        match = _TOKEN.match(page, at)
-        raw, at = match.group(), match.end()
-        node = stack[-1][1]
-        if raw[0] != "<" or raw == "<":
-            plain = html.unescape(raw) if "&" in raw else raw
-            size = len(plain) - plain.count(" ")
-            node.parts.append(plain)
-            node.text += size
-            node.linked += size if open_tags["a"] > 0 else 0
-            node.words += plain.count(" ") + 1 if size else 0
+        text = _TEXT.match(page, at)
+        if text:
+            add_text(text.group())
+            at = text.end()
+            continue
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            at = end if close < 0 else close + 3
+            continue
+        lead = page[at + 1] if page[at + 1] in "/!?" else ""
+        name = _NAME.match(page, at + 1 + len(lead))
+        close = ends.end(name.end() if name else at + 1 + len(lead))
+        if close < 0:  # no tag, but text up to the next one
+            nxt = page.find("<", at + 1)
+            nxt = end if nxt < 0 else nxt
+            add_text(page[at:nxt])
+            at = nxt
             continue
-        if raw.startswith("<!--") or match.group(1) in ("!", "?"):
+        node, attributes, at = stack[-1][1], page[name.end() if name else at : close], close + 1
+        if lead in ("!", "?"):
             continue
-        tag = (match.group(2) or "").lower()
-        if not tag:
-            node.parts.append("" if raw.startswith("</") else html.unescape(raw))
-        elif match.group(1):
-            if tag == "p" and not open_tags["p"]:
+        tag = name.group().lower() if name else ""
+        if not tag:  # an end tag without a name
+            node.parts.append("")
+        elif lead:
+            if tag == "p" and not open_.last("p"):
                 node.parts.append(None)
-            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
-                if stack[k][0] == tag:
-                    if stack[k][1] is stack[k - 1][1]:
-                        stack[k - 1][1].parts.append(None if tag not in INLINE else "")
-                    shut_from(k)
-                    break
-                if stack[k][0] in SCOPE and tag in INLINE | {"p", "li"}:
-                    break
+            k = open_.last(tag)
+            if k and not (tag in INLINE | {"p", "li"} and open_.scopes[-1] > k):
+                if stack[k][1] is stack[k - 1][1]:
+                    stack[k - 1][1].parts.append(None if tag not in INLINE else "")
+                open_.shut_from(k)
         elif tag in ("html", "body"):
-            root.tokens |= attribute_tokens(match.group(3))
+            root.tokens |= attribute_tokens(attributes)
         elif tag in NO_TEXT and tag != "head":
-            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            found = after(rf"</{re.escape(tag)}\s*>", tag)
             at = found.end() if found else end if tag in ("script", "style") else at
         elif tag == "head":
-            found = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+            found = after(r"</head\s*>|<body\b", tag)
             at = at if not found else found.end() if found.group()[1] == "/" else found.start()
         elif tag in VOID:
             node.tags += 1
             node.parts.append(" " if tag in ("br", "wbr") else None if tag == "hr" else "")
         else:
             shut = ({"p"} if tag in ENDS_P else set()) | CLOSES.get(tag, set())
-            for k in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in shut) else ():
-                if stack[k][0] in shut:
-                    shut_from(k)
-                elif stack[k][0] in SCOPE:
-                    break
+            while (k := max(map(open_.last, shut), default=0)) and open_.scopes[-1] <= k:
+                open_.shut_from(k)
             node = stack[-1][1]
-            tokens = attribute_tokens(match.group(3))
-            open_tags[tag] += 1
+            tokens = attribute_tokens(attributes)
             if tag == "a":
                 node.links += 1
             if tag in INLINE and not tokens:
                 node.tags += 1
-                stack.append((tag, node))
+                open_.push(tag, node)
             else:
                 child = Node(tag, tokens, node)
                 node.parts.append(child)
-                stack.append((tag, child))
+                open_.push(tag, child)
     return root
 
 

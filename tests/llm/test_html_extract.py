@@ -70,3 +70,27 @@ def test_text_of_unusual_elements_stays(trees):
     words = "Here stands one plain sentence of an article, long enough to be one."
     page = f"<article><p>{words}</p><p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <noscript>no script</noscript> <object>a thing</object>. {words}</p><script>no()</script></article>"
     assert "".join(text_of(trees, page).split()) == "".join(f"{words} Then x=2 and no script a thing. {words}".split())
+
+
+def test_pages_that_close_nothing_take_linear_time():
+    import time
+
+    hostile = ["<" * 10**6, '<a "' * 250_000, '"' * 10**6, '<"' * 500_000, "<a '\"" * 200_000, "<" * 10**6 + '">', '<a "' * 250_000 + ">", "<a " * 333_000, "<template>" * 100_000, "<head>" * 150_000, "</a>" * 250_000, "<!" * 500_000, "<b><div>" + "<span class=nav>" * 30_000 + "</b>" * 60_000]
+    for page in hostile:
+        began = time.time()
+        order = H.listed(H.parse(page))
+        assert time.time() - began < 5, page[:10]
+        assert order[0].tag == "html"
+
+
+def test_stray_signs_are_text():
+    def read(page):
+        order = H.listed(H.parse(page))
+        return H.blocks(order, [True] * len(order))
+
+    assert read("<p>1 < 2 <b>and</b> 3 > 2</p><p>a<3</p>") == "1 < 2 and 3 > 2\na<3"
+    assert read('<p>x <a title="1 > 0">y</a> z') == "x y z"
+    assert read('<p>open <a "quote</p><p>next</p>') == 'open <a "quote\nnext'
+    assert read("<p>cut <b") == "cut <b"
+    assert read("<!-- a --><p>b</p><!-- c") == "b"
+    assert read("<><p>d</p></ ></>") == "<>\nd"
