@@ -109,10 +109,10 @@ def selection(items: DataFrame, n: int = 10) -> DataFrame:
     return top.join(firsts, "source").withColumn("place", F.struct("first_seq", "rank"))
 
 
-def ranked_list(selected: DataFrame, heading: str = "Newsletter draft") -> DataFrame:
-    """One row: a heading and a line for each selected item (n for each source), in place order."""
+def ranked_list(selected: DataFrame, heading: str = "Newsletter draft", keys: Sequence[str] = ()) -> DataFrame:
+    """A heading and a line for each selected item (n for each source), in place order: one row, or one for each value of ``keys``."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("summary", F.lit("")).alias("s")))), lambda x: F.concat(F.lit("- "), x["s"]))
-    return selected.agg(F.concat(F.lit(f"# {heading}\n\n"), F.concat_ws("\n", lines), F.lit("\n")).alias("digest"))
+    return selected.groupBy(*keys).agg(F.concat(F.lit(f"# {heading}\n\n"), F.concat_ws("\n", lines), F.lit("\n")).alias("digest"))
 
 
 def digest_lines(selected: DataFrame) -> DataFrame:
