@@ -144,13 +144,13 @@ def template_candidates(docs: DataFrame, templates: Mapping[str, list[str]] = TE
     # Lines, and paragraphs of more than one line.
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.contains(x, F.lit("\n")))
     blocks = lowered.select(text_key("text").alias("text_key"), F.explode_outer(F.concat(F.split("text", "\n"), paragraphs)).alias("block"))
-    # In the order of the first list.
-    tokens = blocks.select("text_key", F.array_intersect(F.array(*map(F.lit, order)), words(F.col("block"))).alias("tokens"))
-    long_enough = tokens.where(F.size("tokens") >= min((needed for *_, needed, _ in rows), default=1))
-    met = long_enough.select("text_key", "tokens", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("needed"))
+    tokens = blocks.select("text_key", F.array_distinct(words(F.col("block"))).alias("tokens"))
+    met = tokens.select("text_key", "tokens", F.explode_outer("tokens").alias("token")).join(F.broadcast(index), "token").where(F.size("tokens") >= F.col("needed"))
+    # Few rows are left here. The intersection stands in the order of its first list.
+    met = met.withColumn("tokens", F.array_intersect(F.array(*map(F.lit, order)), "tokens"))
     if positional:
         # The token may not be the first shared one, but for the first one this holds.
-        met = met.where(F.least(F.col("left"), F.size("tokens") - F.col("at")) >= F.col("needed"))
+        met = met.where(F.least(F.col("left").cast("long"), F.size("tokens") - F.array_position("tokens", F.col("token")) + 1) >= F.col("needed"))
     return met.select("text_key", "tokens", "label", "template", "needed")
 
 
