@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields, replace
 
 
@@ -43,3 +44,9 @@ class PipelineConfig:
     def from_dict(cls, values: dict) -> PipelineConfig:
         known = {f.name for f in fields(cls)}
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
+
+
+def credential(vault: Mapping[str, object], name: str) -> str:
+    """The token that a vault has under a name; '' where it has none, which turns off what needs it."""
+    token = vault.get(name.strip()) if name.strip() else None
+    return token if isinstance(token, str) else ""

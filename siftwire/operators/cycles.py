@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwire.functions.order import running
+
 
 def with_cycle(events: DataFrame, block: int = 100_000) -> DataFrame:
     """``cycle``: the number of resets up to the row. Resets are few: each row finds its number by its block.
@@ -28,8 +30,8 @@ def progress(events: DataFrame, total: int) -> DataFrame:
     """(cycle, seq, source, done, complete) at each done: distinct sources done so far in its cycle."""
     dones = events.where("kind = 'done'")
     firsts = dones.groupBy("cycle", "source").agg(F.min("seq").alias("seq")).withColumn("new", F.lit(1))
-    upto = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy("cycle").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    counted = dones.join(firsts, ["cycle", "source", "seq"], "left").withColumn("done", upto.cast("long"))
+    marked = dones.join(firsts, ["cycle", "source", "seq"], "left").select("cycle", "seq", "source", F.coalesce("new", F.lit(0)).alias("new"))
+    counted = running(marked, ["cycle"], F.floor(F.col("seq") / 100_000), ["seq"], F.col("new"), "done")
     return counted.select("cycle", "seq", "source", "done", (F.col("done") >= total).alias("complete"))
 
 

@@ -83,7 +83,7 @@ def compose(selected: DataFrame, model: Callable[[], Model] | None, profile: str
     plain = items.ranked_list(selected)
     if model is None:
         return plain
-    asked = ask(digest_prompt(items.digest_lines(selected), profile), model, max_tokens=2000)
+    asked = ask(digest_prompt(items.digest_lines(selected), profile), model, max_tokens=32000)
     return plain.crossJoin(F.broadcast(asked)).select(F.when(~T.blank(F.col("reply")), F.col("reply")).otherwise(F.col("digest")).alias("digest"))  # a row each
 
 
@@ -99,7 +99,7 @@ def ask(rows: DataFrame, model: Callable[[], Model], **options) -> DataFrame:
             for messages in batch["messages"]:
                 try:
                     replies.append(own.chat([dict(m) for m in messages], **options))
-                except (OSError, ValueError, KeyError, IndexError, RuntimeError):
+                except Exception:  # noqa: BLE001  whatever the model does, it costs only its own reply
                     replies.append(None)
             yield batch[kept].assign(reply=replies)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from siftwire.config import PipelineConfig
+from siftwire.functions.order import running
 from siftwire.operators import cycles, enrich, items, reconcile
 from siftwire.session import stored
 from siftwire.sources import clients_csv, code_host, feed, fetch, tracker
+from siftwire.streaming.digest import StateView
 
 
 def counts(scored: DataFrame) -> DataFrame:
@@ -37,26 +41,60 @@ def poll(scored: DataFrame, snapshot: DataFrame, digest: DataFrame) -> tuple[Dat
     return counts(once), top(once), accumulated(snapshot, digest)
 
 
+def poll_state(view: StateView, digest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of the digest stream's state: counts, best items and progress come from what it keeps, not from the log."""
+    return view.counts(), view.top(), accumulated(view.snapshot(), digest)
+
+
 def compose(scored: DataFrame, config: PipelineConfig, reply: str | None = None, model: Callable[[], enrich.Model] | None = None) -> DataFrame:
     """The digest of scored items with summaries: a reply that is there already, else the model's."""
     selected = items.selection(scored, config.per_source)
     return items.compose(selected, reply) if model is None else enrich.compose(selected, model, config.relevance_profile)
 
 
-def collect(spark: SparkSession, config: PipelineConfig, transport: fetch.Transport = fetch.http) -> DataFrame:
-    """Events of one collection from all configured sources: their items, the first of each id, then a done of each source.
+#: Events of one collection stay below this number of places.
+PLACES = 1 << 32
 
-    The answers are stored once, so that no service is called twice. A call that fails brings no items.
+
+def events(answers: DataFrame, start: int = 0) -> DataFrame:
+    """Events of one collection from its answers: a reset, the items, the first of each id, then a done of each source.
+
+    Places count from ``start``, so that the reset of a later collection comes after all events of an earlier one.
     """
-    answers = [
-        code_host.read(stored(fetch.code_host_answers(spark, config.repos, config.code_host_token, transport), "code-host")),
-        tracker.read(stored(fetch.tracker_answers(spark, config.tracker_token, transport), "tracker")),
-        feed.read(stored(fetch.feed_answers(spark, config.feeds, transport), "feeds")),
-    ]
+    of = lambda source: answers.where(F.col("source") == source).select("seq", "answer")
+    parts = [code_host.read(fetch.by_repository(answers)), tracker.read(of("linear")), feed.read(of("feed"))]
     # Places in order of the connectors; an answer's own places stay below 2 ** 50.
-    placed = [part.withColumn("seq", F.col("seq") + F.lit(i << 50)) for i, part in enumerate(answers)]
+    placed = [part.withColumn("seq", F.col("seq") + F.lit(i << 50)) for i, part in enumerate(parts)]
+    spark = answers.sparkSession
     sources = spark.createDataFrame([("github",), ("linear",), ("feed",)], "source string")
-    return cycles.tick(items.first_by_id(items.union_all(placed)), sources)
+    rows = cycles.tick(items.first_by_id(items.union_all(placed)), sources)
+    reset = spark.createDataFrame([(-1, "reset", "")], "seq long, kind string, source string")
+    rows = reset.unionByName(rows, allowMissingColumns=True)
+    numbered = running(rows, [], F.floor(F.col("seq") / (1 << 20)), ["seq"], F.lit(1), "__place")
+    return numbered.withColumn("seq", F.col("__place") + F.lit(start - 1)).drop("__place")
+
+
+def collect(spark: SparkSession, config: PipelineConfig, transport: fetch.Transport = fetch.http, start: int = 0) -> DataFrame:
+    """``events`` of one collection from all configured sources.
+
+    The answers are stored once, so that no service is called twice. A call that fails brings no items.
+    """
+    return events(stored(fetch.answers(spark, fetch.requests(config), transport), "answers"), start)
+
+
+def collect_stream(
+    spark: SparkSession, config: PipelineConfig, path: str, checkpoint: str, transport: fetch.Transport = fetch.http, clock: Callable[[], float] = time.time, interval: float = fetch.INTERVAL
+) -> StreamingQuery:
+    """Append the events of a collection in every time slot to a log; a batch that is run again replaces its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = stored(batch, "answers")
+        slot = rows.agg(F.max("slot")).first()[0]
+        if slot is not None:
+            events(rows, slot * PLACES).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    asked = fetch.answer_stream(spark, fetch.requests(config), transport, clock, interval)
+    return asked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def regenerate(spark: SparkSession, seq: int) -> DataFrame:

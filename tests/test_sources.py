@@ -1,7 +1,7 @@
 import json
 
 from siftwire import service
-from siftwire.operators import reconcile
+from siftwire.operators import cycles, reconcile
 from siftwire.sources import clients_csv, code_host, feed, tracker
 
 ANSWER = "seq long, answer string"
@@ -92,8 +92,74 @@ def test_fetching(spark):
 
     config = PipelineConfig(repos=("o/r", "", "o/bad/x"), feeds=("http://f/good", "", "http://f/gone", "http://f/good"), code_host_token="t", tracker_token="k")
     rows = service.collect(spark, config, transport).orderBy("seq").collect()
+    assert (rows[0]["seq"], rows[0]["kind"]) == (0, "reset")
     assert [(r["kind"], r["id"]) for r in rows if r["kind"] == "item"] == [("item", f"github:o/r#{x}") for x in ("release-1", "issue-7")] + [("item", "linear:A-1"), ("item", "feed:l")]
-    assert [(r["kind"], r["source"]) for r in rows[4:]] == [("done", "feed"), ("done", "github"), ("done", "linear")]
-    none = service.collect(spark, PipelineConfig(repos=("o/r",)), lambda *a: (500, "")).collect()
-    assert [r["kind"] for r in none] == ["done"] * 3
+    assert [(r["kind"], r["source"]) for r in rows[5:]] == [("done", "feed"), ("done", "github"), ("done", "linear")]
+    none = service.collect(spark, PipelineConfig(repos=("o/r",)), lambda *a: (500, ""), start=70).orderBy("seq").collect()
+    assert [(r["seq"], r["kind"]) for r in none] == [(70, "reset"), (71, "done"), (72, "done"), (73, "done")]
     assert fetch.tracker_answers(spark, "").count() == 0
+    urls = [r[4] for r in fetch.code_host_requests(["o/a b"])]
+    assert all("per_page=10" in u and "/repos/o/a%20b/" in u for u in urls)
+
+    # A second collection starts a new cycle, and doesn't add to the first.
+    both = cycles.with_cycle(service.collect(spark, config, transport).unionByName(service.collect(spark, config, transport, start=1000)))
+    assert sorted(map(tuple, cycles.snapshot(both, 3).collect())) == [(1, 4, 3, 3), (2, 4, 3, 3)]
+
+
+def test_calls_that_fail_in_any_way(spark):
+    import http.client
+    import urllib.error
+
+    from siftwire.operators import enrich
+    from siftwire.sources import fetch
+
+    errors = [http.client.InvalidURL("a space"), http.client.IncompleteRead(b"half"), urllib.error.URLError("x"), UnicodeError("y"), RecursionError("z"), TypeError("w")]
+
+    def transport(url, headers, body, timeout):
+        number = int(url.rsplit("/", 1)[1])
+        if number < len(errors):
+            raise errors[number]
+        return 200, "fine"
+
+    rows = fetch.feed_answers(spark, [f"http://f/{i}" for i in range(len(errors) + 1)], transport).orderBy("seq").collect()
+    assert [r["answer"] for r in rows] == [None] * len(errors) + ["fine"]
+    assert fetch.feed_answers(spark, ["http://no host/a b"]).first()["answer"] is None  # the library's own transport
+
+    class Model:
+        def chat(self, messages, **options):
+            raise http.client.IncompleteRead(b"half")
+
+    asked = enrich.ask(spark.createDataFrame([(1, [{"role": "user", "content": "x"}])], "seq long, messages array<struct<role:string,content:string>>"), Model)
+    assert asked.first()["reply"] is None
+
+
+def test_a_stream_asks_once_in_each_slot(spark, tmp_path):
+    from siftwire.config import PipelineConfig, credential
+    from siftwire.sources import fetch
+
+    def transport(url, headers, body, timeout):
+        if url == fetch.TRACKER:
+            return 200, json.dumps({"data": {"issues": {"nodes": [{"identifier": "A-1"}]}}})
+        return (200, "<rss><channel><item><link>l</link></item></channel></rss>") if url.endswith("good") else (503, "")
+
+    config = PipelineConfig(repos=("o/r",), feeds=("http://f/good", "http://f/gone"), tracker_token=credential({"main": "k"}, " main "))
+    clock = tmp_path / "clock"
+
+    def now():
+        return float(clock.read_text())
+
+    def run():
+        return service.collect_stream(spark, config, str(tmp_path / "log"), str(tmp_path / "check"), transport, now, 10.0).awaitTermination(200)
+
+    for seconds in (25, 27, 61):  # slots 2, 2 and 6
+        clock.write_text(str(seconds))
+        assert run()
+    got = spark.read.parquet(str(tmp_path / "log"))
+    batch = service.collect(spark, config, transport)
+    columns = ["kind", "source", "id"]
+    for slot in (2, 6):
+        own = got.where(f"seq >= {slot * service.PLACES} and seq < {(slot + 1) * service.PLACES}")
+        shown = lambda df: [tuple(r[c] for c in columns) for r in df.orderBy("seq").collect()]
+        assert shown(own) == shown(batch)
+    assert got.count() == 2 * batch.count()
+    assert credential({"a": 1}, "a") == credential({}, "b") == credential({"": "x"}, " ") == ""
