@@ -6,23 +6,19 @@ aliases, named entities by similarity. Each later stage only gets the items that
 
 from __future__ import annotations
 
-import json
-from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.functions import text as T
-from siftwire.functions.sizes import sized
+from siftwire.functions.sizes import BROADCAST_ROWS, sized
 from siftwire.session import checkpointed
 
 # Sources that need no check.
 BYPASS = ["github", "linear"]
-#: Entries of the table of key hashes that a text is compared with first.
-SLOTS = 1 << 16
 DECISION = ["item_id", "decision", "atomic_site_id", "matched_on", "confidence", "reason", "config_version"]
 
 
@@ -52,39 +48,40 @@ def terms(publishers: DataFrame) -> DataFrame:
     return listed.select("ord", "atomic_site_id", "x.*").where("term <> ''")
 
 
-def _folded(text: Column) -> Column:
+def _folded(words: Column) -> Column:
     """Letters that a match in any case takes for equal become equal; only for keys, which may say too much."""
     # Without a step between them, the optimiser drops the inner change of case.
-    lower = F.translate(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), "ς", "σ")
-    return F.lower(F.translate(F.upper(lower), "Σ", "σ"))
+    lower = F.translate(F.lower(F.replace(words, F.lit("İ"), F.lit("i"))), "ς", "σ")
+    return F.when(F.octet_length(words) == F.length(words), F.lower(words)).otherwise(F.lower(F.translate(F.upper(lower), "Σ", "σ")))
 
 
 def _runs(text: Column) -> Column:
-    return F.regexp_extract_all(_folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def term_hits(items: DataFrame, publishers: DataFrame) -> DataFrame:
+def term_hits(items: DataFrame, publishers: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """(seq, ord, atomic_site_id, kind, term): one row for each item and publisher found in title or body.
 
     A term that stands in a text as whole words has its runs of letters and digits as neighbours in the text.
-    Its first two runs, or the only one, are its key. A text keeps those of its words and word pairs whose hash
-    is that of some key, nearly none but real ones, and meets the terms on them in a hash join; the full rule is
-    checked on what meets. The table of hashes has SLOTS entries at any number of terms. A name beats aliases,
-    an earlier alias a later one.
+    Its first two runs, or the only one, are its key. A text's distinct words and word pairs meet the terms by
+    key in a hash join, whose cost for a text doesn't depend on the number of terms; the full rule is checked on
+    what meets. Up to ``bound`` terms are broadcast and the text is at hand for the check; beyond that only
+    (seq, key) are shuffled, and the text is joined back to what met. A name beats aliases, an earlier alias a later one.
     """
-    known = terms(publishers).withColumn("runs", _runs(F.col("term")))
-    known = known.withColumn("key", F.array_join(F.slice("runs", 1, 2), " ")).drop("runs")
-    slot = lambda key: F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
-    taken = {r["slot"] for r in known.select(slot(F.col("key")).alias("slot")).distinct().collect()}
-    # A text that the optimiser folds into one array constant.
-    slots = F.from_json(F.lit(json.dumps([i in taken for i in range(SLOTS)])), "array<boolean>")
-
+    known = terms(publishers).withColumn("key", _folded(F.array_join(F.slice(_runs(F.col("term")), 1, 2), " ")))
+    small = known.limit(bound + 1).count() <= bound
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    texts = items.select("seq", body.alias("text")).withColumn("runs", _runs(F.col("text")))
+    texts = items.select("seq", body.alias("text"))
+    runs = texts.select("seq", "text", _runs(F.col("text")).alias("runs"))
     pairs = F.zip_with("runs", F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    keys = F.filter(F.concat(F.array(F.lit("")), F.col("runs"), pairs), lambda k: k.isNotNull() & F.get(slots, slot(k)))
-    met = texts.select("seq", "text", F.explode(F.array_distinct(keys)).alias("key")).join(sized(known), "key").where(T.whole_word(F.col("text"), F.col("term")))
-    best = met.groupBy("seq", "ord", "atomic_site_id").agg(F.min(F.struct("kind", "pos", "term")).alias("x"))
+    # The last run has no pair.
+    words = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.col("runs"), F.array_compact(pairs))))
+    if small:
+        met = runs.select("seq", "text", words.alias("word")).select("seq", "text", _folded(F.col("word")).alias("key")).join(F.broadcast(known), "key")
+    else:
+        keys = runs.select("seq", words.alias("word")).select("seq", _folded(F.col("word")).alias("key")).distinct()
+        met = keys.join(known, "key").join(texts, "seq")
+    best = met.where(T.whole_word(F.col("text"), F.col("term"))).groupBy("seq", "ord", "atomic_site_id").agg(F.min(F.struct("kind", "pos", "term")).alias("x"))
     return best.select("seq", "ord", "atomic_site_id", "x.kind", "x.term")
 
 
@@ -95,22 +92,17 @@ def resolve_terms(hits: DataFrame) -> DataFrame:
     return grouped.select("seq", "n", F.array_join(F.transform("l", lambda x: x["atomic_site_id"]), ",").alias("ids"), F.get("l", 0).alias("first"))
 
 
-def similar_text(a: str, b: str) -> int:
+def similar_text(a: bytes, b: bytes) -> int:
     """Bytes in common: the longest common substring first found, then the same left and right of it."""
-    total, todo = 0, [(a.encode(), b.encode())]
+    total, todo = 0, [(a, b)]
     while todo:
         x, y = todo.pop()
-        best, at_x, at_y = 0, 0, 0
+        best, at_x = 0, 0
         for i in range(len(x)):
-            if len(x) - i <= best:
-                break
-            for j in range(len(y) - best):
-                k = 0
-                while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
-                    k += 1
-                if k > best:
-                    best, at_x, at_y = k, i, j
+            while i + best < len(x) and x[i : i + best + 1] in y:
+                best, at_x = best + 1, i
         if best:
+            at_y = y.find(x[at_x : at_x + best])
             total += best
             todo += [(x[:at_x], y[:at_y]), (x[at_x + best :], y[at_y + best :])]
     return total
@@ -119,7 +111,8 @@ def similar_text(a: str, b: str) -> int:
 def _similarity(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
-    return 1.0 if a == b else 2.0 * similar_text(a, b) / (len(a.encode()) + len(b.encode()))
+    x, y = a.encode(), b.encode()
+    return 1.0 if a == b else 2.0 * similar_text(x, y) / (len(x) + len(y))
 
 
 def _similarities(org: pd.Series, name: pd.Series) -> pd.Series:
@@ -127,42 +120,84 @@ def _similarities(org: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([_similarity(a, b) for a, b in zip(org, name, strict=True)], dtype=float)
 
 
-@lru_cache(maxsize=100_000)
-def _bytes_of(name: str) -> Counter:
-    return Counter(name.encode())
+def similarity(org: Column | str, name: Column | str) -> Column:
+    return F.pandas_udf(_similarities, "double")(org, name)
+
 
+def _counts(names: list[str]) -> np.ndarray:
+    """How often each byte stands in each name; counts over 255 count as 255 in names of any length."""
+    out = np.zeros((len(names), 256), np.uint8)
+    for i, name in enumerate(names):
+        values, times = np.unique(np.frombuffer(name.encode(), np.uint8), return_counts=True)
+        out[i, values] = np.minimum(times, 255)
+    return out
 
-def _top_similarities(org: pd.Series, name: pd.Series) -> pd.Series:
-    """Like ``_similarities``, but 0 where the bytes in common, in any order, can't reach what an entity already has."""
-    best: dict[str, float] = {}
-    out = []
-    for a, b in zip(org, name, strict=True):
-        x, y = _bytes_of(a), _bytes_of(b)
-        bound = 2.0 * (x & y).total() / max(1, x.total() + y.total())
-        out.append(_similarity(a, b) if bound >= best.get(a, 0.0) else 0.0)
-        best[a] = max(best.get(a, 0.0), out[-1])
-    return pd.Series(out, dtype=float)
 
+def most_similar(orgs: list[str], names: list[str]) -> list[tuple[str, str, float]]:
+    """(org, name, similarity): for each org all names with the best similarity above 0.
 
-def similarity(org: Column | str, name: Column | str) -> Column:
-    return F.pandas_udf(_similarities, "double")(org, name)
+    Bytes in common, in any order, bound the similarity from above. Names are taken by that bound, the best
+    first, until it falls below what was found.
+    """
+    lengths, used = np.array([len(n.encode()) for n in names]), np.zeros(256, bool)
+    counts = _counts(names)
+    used[:] = counts.any(axis=0)
+    counts, out = counts[:, used], []
+    for org, own in zip(orgs, _counts(orgs)[:, used], strict=True):
+        size = len(org.encode())
+        common = np.minimum(counts, own).sum(axis=1, dtype=np.int64)
+        # Where a count was cut off, the shorter name bounds what is in common.
+        common = np.where((own == 255).any() & (counts == 255).any(axis=1), np.minimum(lengths, size), common)
+        bounds = 2.0 * common / (lengths + size)
+        best, found = 0.0, []
+        for i in np.argsort(-bounds, kind="stable"):
+            if bounds[i] < best or bounds[i] <= 0:
+                break
+            s = _similarity(org, names[i])
+            if s > best:
+                best, found = s, [names[i]]
+            elif s == best > 0:
+                found.append(names[i])
+        out += [(org, name, best) for name in found]
+    return out
+
+
+def _best_names(different: DataFrame, names: DataFrame, name_block: int, org_block: int) -> DataFrame:
+    """(org, name, s): the names with the best similarity to each of the distinct ``different`` (org).
+
+    Orgs and distinct names are dealt to blocks, and each task takes one block of both, so that neither has to fit
+    anywhere as a whole; what a task returns is bounded by its blocks.
+    """
+    distinct = names.where("name <> ''").select("name").distinct()
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_names, n_orgs = blocks(distinct, name_block), blocks(different, org_block)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = different.select("org", place("org", n_orgs).alias("org_part"), every(n_names).alias("name_part"))
+    right = distinct.select("name", place("name", n_names).alias("name_part"), every(n_orgs).alias("org_part"))
+    keys = ["org_part", "name_part"]
+
+    def compare(orgs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = most_similar(orgs["org"].tolist(), own["name"].tolist()) if len(orgs) and len(own) else []
+        return pd.DataFrame(found, columns=["org", "name", "s"])
+
+    near = checkpointed(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "org string, name string, s double"))
+    return near.join(near.groupBy("org").agg(F.max("s").alias("s")), ["org", "s"]).select("org", "name", "s")
 
 
-def ner_best(entities: DataFrame, publishers: DataFrame) -> DataFrame:
+def ner_best(entities: DataFrame, publishers: DataFrame, name_block: int = 20_000, org_block: int = 500) -> DataFrame:
     """(seq, best, n, ids, first_id) for items with entities (seq, orgs): the publishers with the best similarity.
 
-    Entities that equal a name have their best in that; only they can reach 1. Each other distinct entity is
-    compared once with the candidate names of the publishers, a dimension.
+    Entities that equal a name have their best in that; only they can reach 1. Each other distinct entity meets
+    the names block by block, and in a block only those whose bytes may make them better than what was found.
     """
     names = terms(publishers).select("ord", "atomic_site_id", T.normal_name(F.col("term")).alias("name"))
-    orgs = entities.select("seq", F.explode("orgs").alias("org")).select("seq", T.normal_name(F.col("org")).alias("org"))
+    orgs = entities.select("seq", F.explode("orgs").alias("org")).select("seq", T.normal_name(F.col("org")).alias("org")).where("org <> ''")
     different = orgs.select("org").distinct()
-    same = different.where("org <> ''").join(names, F.col("org") == F.col("name")).select("org", "ord", "atomic_site_id", F.lit(1.0).alias("s"))
-    rest = different.join(same.select("org"), "org", "left_anti").join(sized(names))
-    near = rest.select("org", "ord", "atomic_site_id", F.pandas_udf(_top_similarities, "double")("org", "name").alias("s"))
-    scored = same.unionByName(near)
-    by_org = scored.groupBy("org", "ord", "atomic_site_id").agg(F.max("s").alias("s"))
-    by_item = orgs.distinct().join(by_org, "org").groupBy("seq", "ord", "atomic_site_id").agg(F.max("s").alias("s"))
+    same = different.join(names.select("name").distinct(), F.col("org") == F.col("name")).select("org", "name", F.lit(1.0).alias("s"))
+    rest = different.join(same.select("org"), "org", "left_anti")
+    scored = same.unionByName(_best_names(rest, names, name_block, org_block)).join(names, "name").select("org", "ord", "atomic_site_id", "s").distinct()
+    by_item = orgs.distinct().join(scored, "org").groupBy("seq", "ord", "atomic_site_id").agg(F.max("s").alias("s"))
     best = by_item.groupBy("seq").agg(F.max("s").alias("best"))
     winners = by_item.join(best, "seq").where("s = best and s > 0")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "atomic_site_id"))), lambda x: x["atomic_site_id"])

@@ -98,3 +98,69 @@ def test_the_extractor_only_gets_what_is_left(spark):
     assert asked == [3] and got[3][0] == "pass" and got[3][2] == "ner"
     pubs = spark.createDataFrame(PUBS, PUB)
     assert gate.lookup(pubs, "007").first()["ord"] == 2 and gate.lookup(pubs, "8").count() == 0
+
+
+def slow_similar_text(x, y):
+    """The rule as it is written down, byte by byte."""
+    best, at_x, at_y = 0, 0, 0
+    for i in range(len(x)):
+        for j in range(len(y)):
+            k = 0
+            while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                k += 1
+            if k > best:
+                best, at_x, at_y = k, i, j
+    return best and best + slow_similar_text(x[:at_x], y[:at_y]) + slow_similar_text(x[at_x + best :], y[at_y + best :])
+
+
+def random_names(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["daily", "news", "the", "times", "é", "ñandú", "post", "of", "a", "ab", "abc", "herald", "x" * 300]
+    return ["".join(rng.choices("abcdeé", k=rng.randrange(1, 12))) if rng.random() < 0.5 else " ".join(rng.choices(words[: 12 + (i % 40 == 0)], k=rng.randrange(1, 4))) for i in range(n)]
+
+
+def test_similar_text_and_best_names_against_all_pairs():
+    orgs, names = random_names(40, 1), sorted(set(random_names(80, 2)))
+    for a in orgs:
+        for b in names[:20]:
+            if len(a) + len(b) < 200:
+                assert gate.similar_text(a.encode(), b.encode()) == slow_similar_text(a.encode(), b.encode()), (a, b)
+    got = {}
+    for org, name, s in gate.most_similar(orgs, names):
+        got.setdefault(org, set()).add((name, s))
+    for org in set(orgs):
+        scores = {n: gate._similarity(org, n) for n in names}
+        best = max(scores.values())
+        assert got.get(org, set()) == {(n, s) for n, s in scores.items() if s == best > 0}, org
+
+
+def test_best_publishers_in_small_blocks_equal_all_pairs(spark):
+    names, orgs = random_names(60, 3), random_names(50, 4)
+    pubs = spark.createDataFrame([(i, str(i), "", "active" if i % 7 else "churned", n, f"{names[-i]}|{names[i // 2]}") for i, n in enumerate(names)], PUB)
+    entities = spark.createDataFrame([(i, [orgs[i], orgs[-i], " "] if i % 3 else []) for i in range(50)], "seq long, orgs array<string>")
+    known = [(r["ord"], r["atomic_site_id"], n) for r, n in ((r, r["n"]) for r in gate.terms(pubs).select("ord", "atomic_site_id", T.normal_name(F.col("term")).alias("n")).collect())]
+    normal = {r["o"]: r["n"] for r in spark.createDataFrame([(o,) for o in orgs], "o string").select("o", T.normal_name(F.col("o")).alias("n")).collect()}
+    got = {r["seq"]: (r["best"], r["n"], r["ids"]) for r in gate.ner_best(entities, pubs, name_block=7, org_block=5).collect()}
+    for i in range(50):
+        scores = {}
+        for org in [orgs[i], orgs[-i]] if i % 3 else []:
+            for place, site, name in known:
+                scores[place, site] = max(scores.get((place, site), 0.0), gate._similarity(normal[org], name))
+        best = max(scores.values(), default=0.0)
+        winners = [site for (_, site), s in sorted(scores.items()) if s == best > 0]
+        assert got[i] == (best, len(winners), ",".join(winners)), i
+
+
+def test_no_join_without_a_condition(spark):
+    pubs = spark.createDataFrame(PUBS, PUB)
+    plan = gate.ner_best(spark.createDataFrame([(1, ["Daily Bee"])], "seq long, orgs array<string>"), pubs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_terms_beyond_the_broadcast_bound_give_the_same(spark):
+    rows = [(i, "feed", f"i{i}", title, "", body) for i, (_, title, _, body) in enumerate(CASES)]
+    items, pubs = spark.createDataFrame(rows, ITEM), spark.createDataFrame(PUBS, PUB)
+    found = [sorted(map(tuple, gate.term_hits(items, pubs, bound).collect())) for bound in (1_000_000, 1)]
+    assert found[0] == found[1] and found[0]
