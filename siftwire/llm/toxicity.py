@@ -45,6 +45,7 @@ class ToxicityModel:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    density: bool = True
 
 
 def held_out(doc_id: Column | str, folds: int = 5) -> Column:
@@ -120,8 +121,8 @@ def _count_udf(orders: tuple[int, ...], bits: int):
     return count
 
 
-def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, kept n-gram, log of 1 + density) of the texts, each pair once, by rows; n-grams numbered from 0."""
+def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bits: int, density: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, kept n-gram, log of 1 + density, or 1) of the texts, each pair once, by rows; n-grams numbered from 0."""
     found, places = [], []
     for points, rows, begins in _pieces(texts, max(orders)):
         for buckets, ok in _grams(points, orders, bits):
@@ -136,7 +137,7 @@ def _hits(texts: list[str | None], slot: np.ndarray, orders: tuple[int, ...], bi
     times = np.bincount(own, np.concatenate(places), minlength=len(keys))
     length = np.array([len(x or "") for x in texts], float)
     row = keys >> 32
-    return row, keys & 0xFFFFFFFF, np.log1p(PER * times / (length[row] + PRIOR))
+    return row, keys & 0xFFFFFFFF, np.log1p(PER * times / (length[row] + PRIOR)) if density else np.ones(len(keys))
 
 
 def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
@@ -145,14 +146,14 @@ def _slots(buckets: np.ndarray, bits: int) -> np.ndarray:
     return slot
 
 
-def _feature_udf(buckets: np.ndarray, orders: tuple[int, ...], bits: int):
+def _feature_udf(buckets: np.ndarray, orders: tuple[int, ...], bits: int, density: bool):
     @F.arrow_udf("struct<at:array<int>,value:array<double>>")
     @released
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slot = _slots(buckets, bits)
         for batch in batches:
             for part in portions(batch, batch):
-                rows, kept, dense = _hits(part.to_pylist(), slot, orders, bits)
+                rows, kept, dense = _hits(part.to_pylist(), slot, orders, bits, density)
                 ends = pa.array(np.searchsorted(rows, np.arange(len(part) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(kept, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(dense))]
                 yield pa.StructArray.from_arrays(lists, ["at", "value"])
@@ -160,6 +161,14 @@ def _feature_udf(buckets: np.ndarray, orders: tuple[int, ...], bits: int):
     return features
 
 
+def ratios_of(train: DataFrame, classes: dict[int, int], orders: tuple[int, ...], bits: int, smoothing: float, min_docs: int) -> DataFrame:
+    """(bucket, ratio, z): the log-count ratio of each n-gram of ``train`` (text, toxic), and how significant it is."""
+    counts = train.mapInArrow(_count_udf(orders, bits), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    p, q = F.col("toxic") + smoothing, F.col("clean") + smoothing
+    ratio = F.log(p / classes[1]) - F.log(q / classes[0])
+    return counts.where(F.col("clean") + F.col("toxic") >= min_docs).select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("z"))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -171,9 +180,11 @@ def fit(
     min_docs: int = 3,
     smoothing: float = 0.5,
     regularisation: float = 1e-4,
+    density: bool = True,
 ) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
+    ``density`` takes how dense an n-gram is in the text, else whether it is there (``cross_validated`` compares them).
     ``max_train_rows`` bounds the labelled rows that are used: above it the rows with the lowest hash of
     their id are taken, about so many. The chosen labels are therefore small enough to broadcast at any
     corpus size, and no text is shuffled.
@@ -189,16 +200,7 @@ def fit(
         share = 1.0 if classes.get(1) else 0.0
         return ToxicityModel(orders, bits, empty.astype(np.int64), empty, 50.0 if share else -50.0)
 
-    counts = train.mapInArrow(_count_udf(orders, bits), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p, q = F.col("toxic") + smoothing, F.col("clean") + smoothing
-    ratio = F.log(p / classes[1]) - F.log(q / classes[0])
-    ranked = (
-        counts.where(F.col("clean") + F.col("toxic") >= min_docs)
-        .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("z"))
-        .orderBy(F.desc("z"), "bucket")
-        .limit(max_features)
-        .collect()
-    )
+    ranked = ratios_of(train, classes, orders, bits, smoothing, min_docs).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
     kept = sorted((int(r["bucket"]), float(r["ratio"])) for r in ranked)
     if not kept:
         odds = float(np.log(classes[1] / classes[0]))
@@ -208,7 +210,7 @@ def fit(
 
     size = len(kept)
     vector = F.udf(lambda found: Vectors.sparse(size, found["at"], found["value"]), VectorUDT())
-    grams = train.select(F.col("toxic").cast("double").alias("label"), _feature_udf(buckets, orders, bits)("text").alias("grams"))
+    grams = train.select(F.col("toxic").cast("double").alias("label"), _feature_udf(buckets, orders, bits, density)("text").alias("grams"))
     rows = grams.select("label", vector("grams").alias("dense")).persist()
     try:
         model = Pipeline(
@@ -220,7 +222,7 @@ def fit(
     finally:
         rows.unpersist()
     linear = model.stages[-1]
-    return ToxicityModel(orders, bits, buckets, np.array(linear.coefficients.toArray()) * ratios, float(linear.intercept))
+    return ToxicityModel(orders, bits, buckets, np.array(linear.coefficients.toArray()) * ratios, float(linear.intercept), density)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str = "score") -> DataFrame:
@@ -234,7 +236,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", output: str
             for part in portions(batch, batch):
                 total = np.full(len(part), model.bias)
                 if len(model.buckets):
-                    rows, kept, dense = _hits(part.to_pylist(), slot, model.orders, model.bits)
+                    rows, kept, dense = _hits(part.to_pylist(), slot, model.orders, model.bits, model.density)
                     total += np.bincount(rows, model.weights[kept] * dense, minlength=len(part))
                 yield pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))
 
@@ -246,3 +248,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     model = fit(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")), **options)
     scored = score(docs.withColumn("held_out", held_out("doc_id")), model)
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """(toxic, n, rejected) over the folds of the rows to learn from, each judged by a model of the others.
+
+    Rows that are held out take no part, so that a choice made by these figures leaves them unseen.
+    """
+    fold = lambda df: df.withColumn("__fold", F.crc32(F.col("doc_id").cast("string")) % folds).where("__fold <> 0")
+    docs, known = fold(docs), fold(labels.where(F.col("toxic").isin(0, 1)))
+    judged = None
+    for k in range(1, folds):
+        model = fit(docs.where(f"__fold <> {k}"), known.where(f"__fold <> {k}"), **options)
+        own = docs.where(f"__fold = {k}").select("doc_id", "text").join(known.where(f"__fold = {k}").select("doc_id", "toxic"), "doc_id")
+        part = score(own, model, output="score").select("toxic", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("rejected"))
+        judged = part if judged is None else judged.unionByName(part)
+    return judged.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("rejected").alias("rejected"))

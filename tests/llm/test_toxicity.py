@@ -67,19 +67,54 @@ def test_counts_of_presences_are_those_of_a_plain_loop():
 
 
 def test_ratios_and_scores_are_those_of_the_formula(spark):
-    """Log-count ratios and scores against a plain computation on the same counts."""
+    """Log-count ratios from plain counts of presences, and scores from plain counts of places."""
     import numpy as np
 
     docs, labels = made_up(200)
     table = spark.createDataFrame(docs, SCHEMA).repartition(3)
-    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"), bits=16)
-    kept = {int(b): float(w) for b, w in zip(model.buckets, model.weights, strict=True)}
-    for row in toxicity.score(table, model, output="p").collect()[:40]:
+    toxic = {}
+    for doc_id, label in labels:
+        if doc_id is not None and label in (0, 1):
+            toxic[doc_id] = max(toxic.get(doc_id, 0), label)
+    orders, bits = (3, 4, 5), 16
+
+    def grams(text):
         found = Counter()
-        for buckets, ok in toxicity._grams(toxicity._code_points(row["text"]), model.orders, model.bits):
+        for buckets, ok in toxicity._grams(toxicity._code_points(text), orders, bits):
             found.update(buckets[ok].tolist())
-        dense = {b: np.log1p(1000 * n / (len(row["text"]) + 200)) for b, n in found.items()}
-        assert abs(row["p"] - 1 / (1 + np.exp(-(model.bias + sum(kept.get(b, 0.0) * x for b, x in dense.items()))))) < 1e-9
+        return found
+
+    rows = [(r["text"], toxic[r["doc_id"]]) for r in table.collect() if r["doc_id"] in toxic]
+    classes = Counter(t for _, t in rows)
+    present = [Counter(b for text, t in rows if t == c for b in grams(text)) for c in (0, 1)]
+    train = spark.createDataFrame([(text or "", t) for text, t in rows], "text string, toxic int").repartition(3)
+    got = {r["bucket"]: (r["ratio"], r["z"]) for r in toxicity.ratios_of(train, dict(classes), orders, bits, 0.5, 3).collect()}
+    want = {}
+    for b in present[0].keys() | present[1].keys():
+        if present[0][b] + present[1][b] >= 3:
+            p, q = present[1][b] + 0.5, present[0][b] + 0.5
+            ratio = np.log(p / classes[1]) - np.log(q / classes[0])
+            want[b] = (ratio, abs(ratio) / np.sqrt(1 / p + 1 / q))
+    assert got.keys() == want.keys() and all(np.allclose(got[b], want[b], atol=1e-12) for b in want)
+
+    for density in (True, False):
+        model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"), bits=bits, max_features=500, density=density)
+        best = sorted(want, key=lambda b: (-round(want[b][1], 9), b))
+        assert set(model.buckets.tolist()) <= {b for b in best if want[b][1] >= want[best[499]][1] - 1e-6}
+        kept = {int(b): float(w) for b, w in zip(model.buckets, model.weights, strict=True)}
+        for row in toxicity.score(table, model, output="p").collect()[:40]:
+            value = {b: np.log1p(1000 * n / (len(row["text"] or "") + 200)) if density else 1.0 for b, n in grams(row["text"]).items()}
+            assert abs(row["p"] - 1 / (1 + np.exp(-(model.bias + sum(kept.get(b, 0.0) * x for b, x in value.items()))))) < 1e-9
+
+
+def test_choices_are_made_without_held_out_rows(spark):
+    docs, labels = made_up(200)
+    table, known = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = toxicity.cross_validated(table, known, bits=14)
+    turned = known.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, toxicity.cross_validated(table, turned, bits=14).collect()))
+    right = {r["toxic"]: r["rejected"] / r["n"] for r in seen.collect()}
+    assert right[1] > 0.8 and right[0] < 0.2
 
 
 def test_densities_of_long_texts_are_those_of_a_plain_loop(monkeypatch):
