@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.plans import gate_queries, item_queries, source_queries, store_queries
+from siftwire.plans import gate_queries, item_queries, source_queries, store_queries, stream_queries
 
-_PARTS = (item_queries, gate_queries, store_queries, source_queries)
+_PARTS = (item_queries, gate_queries, store_queries, source_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -229,6 +229,13 @@ def lookup(publishers: DataFrame, atomic_site_id: str) -> DataFrame:
     return publishers.where(F.col("atomic_site_id") == atomic_site_id).orderBy("ord").limit(1)
 
 
+def lookups(publishers: DataFrame, ids: DataFrame) -> DataFrame:
+    """The first publisher in store order of each of many ids (atomic_site_id)."""
+    found = publishers.join(ids.select("atomic_site_id").distinct(), "atomic_site_id", "left_semi")
+    firsts = found.groupBy("atomic_site_id").agg(F.min("ord").alias("ord"))
+    return found.join(firsts, ["atomic_site_id", "ord"], "left_semi")
+
+
 def decide(
     items: DataFrame, publishers: DataFrame, config_version: str = "", entities: DataFrame | Callable[[DataFrame], DataFrame] | None = None, passes: float = 0.85, ignores: float = 0.6
 ) -> DataFrame:

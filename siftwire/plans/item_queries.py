@@ -37,17 +37,12 @@ def _cycles(spark, d):
     return cycles.with_cycle(B.events(spark, d))
 
 
-def _raw(spark, d, body="lang"):
+def _raw(spark, d):
+    """Documents as a connector gives them: some without a title, some without a time."""
     docs = B.table(spark, d, "documents")
     time = F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string")).otherwise(F.date_format(F.timestamp_seconds(F.lit(B.E0) + F.col("doc_id") * 600), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    title = F.when(F.col("doc_id") % 7 > 0, F.substring("text", 1, 20))
-    return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("native_id"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col(body).alias("body"), time.alias("time"))
-
-
-def _raw_whole(spark, d):
-    """As _raw, with the whole first line as title and the whole text as body."""
-    title = F.when(F.col("seq") % 7 > 0, F.substring_index("body", "\n", 1))
-    return _raw(spark, d, "text").withColumn("title", title)
+    title = F.when(F.col("doc_id") % 7 > 0, F.substring_index("text", "\n", 1))
+    return docs.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("native_id"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("text").alias("body"), time.alias("time"))
 
 
 def counts(spark, d):
@@ -57,11 +52,11 @@ def counts(spark, d):
 QUERIES = {
     "items_normalize": (
         lambda s, d: items.normalize(_raw(s, d), "feed"),
-        f"""SELECT doc_id AS seq, 'feed' AS source, 'feed:' || doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN substring(text, 1, 20) ELSE '' END AS title, '' AS url, lang AS body,
+        f"""SELECT doc_id AS seq, 'feed' AS source, 'feed:' || doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN coalesce(split_part(text, chr(10), 1), '') ELSE '' END AS title, '' AS url, coalesce(text, '') AS body,
             CASE WHEN doc_id % 5 = 0 THEN 0 ELSE {B.E0} + doc_id * 600 END AS timestamp FROM documents""",
     ),
     "items_normalize_whole": (
-        lambda s, d: items.normalize(_raw_whole(s, d), "feed"),
+        lambda s, d: items.normalize(_raw(s, d), "feed"),
         f"""SELECT doc_id AS seq, 'feed' AS source, 'feed:' || doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN coalesce(split_part(text, chr(10), 1), '') ELSE '' END AS title, '' AS url, coalesce(text, '') AS body,
             CASE WHEN doc_id % 5 = 0 THEN 0 ELSE {B.E0} + doc_id * 600 END AS timestamp FROM documents""",
     ),

@@ -87,7 +87,8 @@ def _entity_replies(spark, d):
 
 def _prompts(spark, d):
     rows = enrich.enrich_prompt(B.items_docs(spark, d), "local news")
-    return rows.select("seq", F.size("messages").alias("n"), F.length(F.get("messages", 1)["content"]).alias("size"))
+    content = F.get("messages", 1)["content"]
+    return rows.select("seq", F.size("messages").alias("n"), F.length(content).alias("size"), F.sha2(content, 256).alias("content_sha256"))
 
 
 def _segments(spark, d):
@@ -144,7 +145,7 @@ QUERIES = {
     ),
     "prompt_enrich": (
         _prompts,
-        f"WITH {B.ITEMS_DOCS} SELECT seq, 2 AS n, CAST(length(title) + length(source) + length(body) + length('Title: ' || chr(10) || 'Source: ' || chr(10) || 'Text: ' || chr(10) || 'What matters to us: local news') AS INTEGER) AS size FROM items",
+        f"WITH {B.ITEMS_DOCS} SELECT seq, 2 AS n, CAST(length(title) + length(source) + length(body) + length('Title: ' || chr(10) || 'Source: ' || chr(10) || 'Text: ' || chr(10) || 'What matters to us: local news') AS INTEGER) AS size, sha256('Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'Text: ' || body || chr(10) || 'What matters to us: local news') AS content_sha256 FROM items",
     ),
     "latest_segment": (lambda s, d: logs.latest_segment(_segments(s, d)), "SELECT arg_max(event_type, event_id) AS digest FROM events WHERE event_id % 5 <> 0"),
     "dead_letter_split": (_letters, "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'dead_letter' ELSE 'log' END AS goes_to FROM events"),

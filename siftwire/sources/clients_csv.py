@@ -6,10 +6,12 @@ import csv
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwire.functions import text as T
+from siftwire.functions.sizes import sized
 
 SNAPSHOT = "ord long, atomic_site_id string, domain_name string, created string"
 
@@ -40,15 +42,29 @@ def parse(lines: DataFrame) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, line) of a text file or a folder of them, read in splits: lines end with LF, CR or both.
+
+    A line's number is that of its split, from the counts of the splits before it, and its place in the split. A
+    folder's files follow each other by name.
+    """
+    scan = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    counts = scan.groupBy("file", "split").agg(F.count("*").alias("n"))
+    # A row for each split.
+    before = F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file", "split", F.coalesce(before, F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("file", "split").orderBy("at"))
+    placed = scan.withColumn("at", F.monotonically_increasing_id()).withColumn("within", within)
+    return placed.join(sized(starts), ["file", "split"]).select((F.col("start") + F.col("within") - 1).alias("ord"), "line")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """The snapshot of a file; None if the path is empty or can't be read, or the file is rejected."""
     if not path:
         return None
     try:
-        whole = spark.read.text(path, wholetext=True)
-        lines = whole.select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("ord", "line")).select(F.col("ord").cast("long"), "line")
-        return parse(lines)
-    except Exception as error:  # noqa: BLE001
+        return parse(numbered_lines(spark, path))
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise

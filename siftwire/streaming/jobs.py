@@ -31,33 +31,6 @@ def append(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet")
     return stream.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def first_seen(stream: DataFrame, remembered: int = 2000) -> DataFrame:
-    """Items whose id is not among the last ``remembered`` ids of their source; blank ids are dropped.
-
-    Ids are forgotten in the order in which they came; a repeat doesn't make an id younger. State is bounded by
-    ``remembered`` ids for each source. Rows of one batch are taken by ``seq``.
-    """
-
-    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order = dict.fromkeys(state.get[0]) if state.exists else {}
-        fresh = []
-        for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
-            if row.id in order:
-                continue
-            order[row.id] = None
-            if len(order) > remembered:
-                del order[next(iter(order))]
-            fresh.append(row.row)
-        state.update((list(order),))
-        yield pd.DataFrame({"row": fresh})
-
-    # A row travels as one text, so that no value changes its type on the way.
-    whole = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row")
-    keyed = stream.where(F.coalesce("id", F.lit("")) != "").select("source", "seq", "id", whole)
-    taken = keyed.groupBy("source").applyInPandasWithState(take, "row string", "ids array<string>", "append", GroupStateTimeout.NoTimeout)
-    return taken.select(F.from_json("row", stream.schema).alias("x")).select("x.*")
-
-
 def summarize_and_score(stream: DataFrame, now: int) -> DataFrame:
     """Fallback summary and score of each item; the row-wise plan is that of the batch queries.
 

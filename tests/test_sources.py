@@ -163,3 +163,27 @@ def test_a_stream_asks_once_in_each_slot(spark, tmp_path):
         assert shown(own) == shown(batch)
     assert got.count() == 2 * batch.count()
     assert credential({"a": 1}, "a") == credential({}, "b") == credential({"": "x"}, " ") == ""
+
+
+def test_lines_of_splits_are_numbered_as_in_the_whole_file(spark, tmp_path):
+    import random
+    import re
+
+    rng = random.Random(2)
+    text = "id atomic,created,domain" + "".join(rng.choice(["\n", "\r\n", "\r"]) + rng.choice(["", " ", f"{i},2024,c{i}.example", f'"{i}","a ""q""", é{i}.example ', "x" * 300]) for i in range(700)) + "\n"
+    path = tmp_path / "clients.csv"
+    path.write_bytes(text.encode())
+    want = [x for x in re.split(r"\r\n|\r|\n", text)][:-1]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = clients_csv.numbered_lines(spark, str(path))
+        assert lines.rdd.getNumPartitions() > 3
+        assert [(r["ord"], r["line"]) for r in lines.orderBy("ord").collect()] == list(enumerate(want))
+        split = clients_csv.read(spark, str(path)).orderBy("ord").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one = clients_csv.parse(spark.createDataFrame(list(enumerate(want)), "ord long, line string")).orderBy("ord").collect()
+    assert split == one and len(one) > 200

@@ -1,19 +1,73 @@
-from siftwire.streaming import jobs
+import random
+from datetime import datetime
+from decimal import Decimal
+
+from siftwire.streaming import jobs, seen
 
 ITEM = "seq long, source string, id string, title string, url string, body string, timestamp long"
 
 
 def test_bounded_seen_ids_forget_the_oldest(spark, tmp_path):
     rows = [(i, "a", f"a:{i}", "t", "", "", 0) for i in range(6)] + [(6, "a", "a:0", "t", "", "", 0), (7, "a", "a:5", "t", "", "", 0), (8, "a", "", "t", "", "", 0)]
-    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    log, out, memory, state = (str(tmp_path / x) for x in ("log", "out", "memory", "state"))
     spark.createDataFrame(rows, ITEM).coalesce(1).write.parquet(log)
-    fresh = jobs.first_seen(jobs.log(spark, log, ITEM), remembered=5)
-    query = jobs.append(fresh, out, state)
-    assert query.awaitTermination(120)
+    run = lambda: seen.first_seen(jobs.log(spark, log, ITEM), out, memory, state, remembered=5).awaitTermination(200)
+    assert run()
     assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 6]
-    spark.createDataFrame([(9, "a", "a:5", "t", "", "", 0), (10, "b", "a:5", "t", "", "", 0)], ITEM).coalesce(1).write.mode("append").parquet(log)
-    assert jobs.append(jobs.first_seen(jobs.log(spark, log, ITEM), remembered=5), out, state).awaitTermination(120)
-    assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 6, 10]
+    spark.createDataFrame([(9, "a", "a:5", "t", "", "", 0), (10, "b", "a:5", "t", "", "", 0), (11, None, "a:5", "t", "", "", 0)], ITEM).coalesce(1).write.mode("append").parquet(log)
+    assert run()
+    assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 6, 10, 11]
+    # A batch that is run again starts from the same memory and leaves one copy.
+    for name in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "state" / name).unlink(missing_ok=True)
+    assert run()
+    assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5, 6, 10, 11]
+
+
+def test_two_thousand_and_one_ids(spark):
+    ids = [(i, "a", f"a:{i}") for i in range(2001)] + [(2001, "a", "a:0"), (2002, "a", "a:2"), (2003, "a", "a:1")]
+    keys = spark.createDataFrame(ids, "seq long, source string, id string").repartition(4)
+    found = sorted(map(tuple, seen.fresh_ids(keys, spark.createDataFrame([], seen.MEMORY)).select("seq", "place").collect()))
+    assert found == [(i, i + 1) for i in range(2002)] + [(2003, 2003)]
+
+
+def plain_memory(rows, remembered):
+    """One row after another."""
+    memory, fresh = {}, []
+    for source, seq, name in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        ids = memory.setdefault(source, {})
+        if name not in ids:
+            ids[name] = None
+            if len(ids) > remembered:
+                del ids[next(iter(ids))]
+            fresh.append((source, seq, name))
+    return memory, sorted(fresh)
+
+
+def test_a_hot_source_over_several_batches(spark):
+    rng = random.Random(4)
+    memory, so_far, got = spark.createDataFrame([], seen.MEMORY), [], []
+    for batch in range(3):
+        rows = [("hot" if rng.random() < 0.8 else rng.choice("ab"), batch * 1000 + i, f"i{rng.choice([rng.randrange(30), rng.randrange(400), 7])}") for i in range(1000)]
+        so_far += rows
+        found = seen.fresh_ids(spark.createDataFrame(rows + rows[:5], "source string, seq long, id string").repartition(5), memory, 20).cache()
+        got += [(r["source"], r["seq"], r["id"]) for r in found.collect()]
+        memory = spark.createDataFrame(seen.next_memory(memory, found, 20).collect(), seen.MEMORY)
+    want, fresh = plain_memory(so_far, 20)
+    assert sorted(got) == fresh
+    left = {}
+    for r in sorted(memory.collect(), key=lambda r: r["place"]):
+        left.setdefault(r["source"], []).append(r["id"])
+    assert left == {k: list(v) for k, v in want.items()}
+
+
+def test_values_of_items_stay_as_they_are(spark, tmp_path):
+    """Micros of a time, decimals and nested values pass the memory untouched."""
+    schema = "seq long, source string, id string, at timestamp, price decimal(20,10), parts array<struct<a:double>>"
+    rows = [(1, "a", "x", datetime(2024, 1, 1, 0, 0, 0, 123456), Decimal("1.0000000001"), [(0.1 + 0.2,)])]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "log"))
+    assert seen.first_seen(jobs.log(spark, str(tmp_path / "log"), schema), str(tmp_path / "out"), str(tmp_path / "memory"), str(tmp_path / "state")).awaitTermination(200)
+    assert spark.read.schema(schema).parquet(str(tmp_path / "out")).drop("batch").collect() == spark.createDataFrame(rows, schema).collect()
 
 
 def test_score_log_gate_log_and_dead_letters(spark, tmp_path):
