@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwire.functions.order import running
 from siftwire.llm.memory import released
 from siftwire.session import stored
 
@@ -36,21 +37,6 @@ _NO_ENDS = hashlib.sha256(b"").hexdigest()
 _PIECE = 1 << 20
 
 
-def running(rows: DataFrame, keys: list[str], block: Column, order: list[Column | str], value: Column, name: str) -> DataFrame:
-    """``name``: the sum of ``value`` up to and with the row, in the order of ``block``, then ``order``.
-
-    Sums within blocks of the order and sums over blocks: a key with many rows is spread over its blocks.
-    """
-    rows = rows.withColumn("__block", block)
-    totals = rows.groupBy(*keys, "__block").agg(F.sum(value).alias("__total"))
-    before = F.sum("__total").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*keys, "__block", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.sum(value).over(Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__block"]]
-    met = rows.withColumn("__within", within).alias("a").join(totals.alias("b"), same)
-    return met.select(*(F.col(f"a.{c}").alias(c) for c in rows.columns if c != "__block"), (F.col("__within") + F.col("__before")).cast("long").alias(name))
-
-
 def encoded(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, pos, code, words): turns numbered from 0 in each conversation, with their numbers in the dictionary."""
     role_, text_ = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
@@ -73,7 +59,9 @@ def rebuilt(turns: DataFrame, base: Column, shared: Column) -> DataFrame:
     Both are expressions of conv_id.
     """
     convs = turns.select("conv_id").distinct().select("conv_id", base.alias("base"), shared.cast("long").alias("h"))
-    lent = convs.join(turns.select(F.col("conv_id").alias("base"), "pos", "code", "words"), "base").where("pos < h").select("conv_id", "pos", "code", "words")
+    most = convs.agg(F.max("h")).first()[0] or 0  # no more of a long conversation meets those that borrow from it
+    heads = turns.where(F.col("pos") < most).select(F.col("conv_id").alias("base"), "pos", "code", "words")
+    lent = convs.join(heads, "base").where("pos < h").select("conv_id", "pos", "code", "words")
     counts = convs.join(lent.groupBy("conv_id").agg(F.count("*").alias("k")), "conv_id", "left").select("conv_id", "h", F.coalesce("k", F.lit(0)).alias("k"))
     own = turns.join(counts, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("k")).alias("pos"), "code", "words")
     return lent.unionByName(own)
