@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from siftwire.operators import reconcile
+from siftwire.operators import master, reconcile
 from siftwire.plans import bindings as B
+from siftwire.session import shared_folder
 
 _LAST = "lastsnap AS (SELECT atomic_site_id, arg_max(domain_name, ord) AS d, arg_max(created, ord) AS c, count(*) AS times FROM snap GROUP BY 1), j AS (SELECT coalesce(s.atomic_site_id, n.atomic_site_id) AS atomic_site_id, s.* EXCLUDE (atomic_site_id), s.atomic_site_id IS NOT NULL AS known, n.d, n.c, n.times FROM store s FULL JOIN lastsnap n USING (atomic_site_id))"
 _MERGED = f"""SELECT atomic_site_id, coalesce(d, domain_name) AS domain_name, coalesce(c, created) AS created,
@@ -39,7 +42,21 @@ def _patched(spark, d):
     return reconcile.patch(store, changes).select("atomic_site_id", "publisher_name", "domain_name")
 
 
+def _versions(spark, d):
+    """The store as a table of versions: created, enriched in some rows, imported into."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    master.create(B.store(spark, d), folder, buckets=8)
+    some = master.read(spark, folder).where("atomic_site_id % 100 = 1")
+    master.upsert(some.withColumn("publisher_name", F.concat("publisher_name", F.lit("!"))), folder)
+    master.upsert(reconcile.merge(master.read(spark, folder), B.client_snapshot(spark, d), B.TODAY), folder)
+    return master.read(spark, folder)
+
+
 QUERIES = {
+    "master_versions": (
+        _versions,
+        f"WITH {B.STORE}, {B.SNAPSHOT}, {_LAST}, m AS ({_MERGED}) SELECT * REPLACE (CASE WHEN CAST(atomic_site_id AS BIGINT) % 100 = 1 THEN publisher_name || '!' ELSE publisher_name END AS publisher_name) FROM m",
+    ),
     "reconcile_merge": (lambda s, d: reconcile.merge(B.store(s, d), B.client_snapshot(s, d), B.TODAY), f"WITH {B.STORE}, {B.SNAPSHOT}, {_LAST} {_MERGED}"),
     "reconcile_report": (lambda s, d: reconcile.report(B.store(s, d), B.client_snapshot(s, d)), f"WITH {B.STORE}, {B.SNAPSHOT}, {_LAST} {_REPORT}"),
     "reconcile_duplicates": (lambda s, d: reconcile.report(B.store(s, d), B.client_snapshot(s, d, True)), f"WITH {B.STORE}, {B.REPEATED}, {_LAST} {_REPORT}"),
