@@ -47,9 +47,8 @@ _CHUNK = 4096
 SKETCH_BITS = 6
 #: A shingle counted at least so often is hot: its list may be long and is never brought together in one task.
 HOT = 1000
-#: Tasks over which the members of a hot list are spread; in the last round, where each meets the others.
+#: Tasks over which the members of a hot list are spread.
 SALTS = 64
-LAST_SALTS = 16
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
@@ -236,14 +235,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
         else:  # every pair of members in different components, one of them outside the head's
             # Sizes that may link differ by one step of this scale at most, so that a list is dealt out by size too.
             step = lambda n: F.floor(F.log(n) / math.log(100 / percent) if percent < 100 else n).cast("long")
-            # Members of a hot list are dealt to salts, those that they meet go to each.
-            own = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(LAST_SALTS)).cast("int")).otherwise(0)
-            each = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(LAST_SALTS - 1))).otherwise(F.array(F.lit(0))))
-            others = others.select("shingle", own.alias("salt"), "node", "component", "n", "at", "h_component", F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
-            mates = still.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "component", "n", "at")), step(F.col("n")).alias("step"), each.alias("salt"))
+            # A hot list and step is a skewed partition of this join, which Spark splits on both sides where it is large;
+            # salts of our own would copy the list's members, few or many, once for each salt.
+            others = others.select("shingle", "node", "component", "n", "at", "h_component", F.explode(F.sequence(step(F.col("n")) - 1, step(F.col("n")) + 1)).alias("step"))
+            mates = still.select("shingle", *(F.col(c).alias(f"m_{c}") for c in ("node", "component", "n", "at")), step(F.col("n")).alias("step"))
             near = _may_link(F.col("n"), F.col("at"), F.col("m_n"), F.col("m_at"), percent)
             once = (F.col("m_component") == F.col("h_component")) | (F.col("node") < F.col("m_node"))
-            met = others.join(mates, ["shingle", "step", "salt"]).where((F.col("component") != F.col("m_component")) & once & near)
+            met = others.join(mates, ["shingle", "step"]).where((F.col("component") != F.col("m_component")) & once & near)
             pairs = met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
         new = checkpointed(_verified(docs, pairs, classes, width, percent))
         links = new if links is None else links.unionByName(new)
