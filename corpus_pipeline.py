@@ -62,7 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True)
+    # Less memory for words than the operator takes by itself: what the stages before have left in the executors counts too.
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True, remembered=24 << 20)
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siftwire.llm.memory import portions, released
 
-#: Bytes, about, of words and pre-tokens whose ids a task remembers; emptied when full, results don't depend on it.
+#: Bytes, about, of words and pre-tokens whose ids a task remembers, if not told otherwise; emptied when full, results don't depend on it.
 REMEMBERED = 64 << 20
 #: Words or ids that are looked up at once.
 RUN = 1 << 15
@@ -87,9 +87,11 @@ class Encoder:
     pattern along the whole text. Any other text, and any other pattern, is matched as a whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, model: bytes, spaced: bool):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, model: bytes, spaced: bool, remembered: int | None = None):
         import sentencepiece
 
+        self.remembered = REMEMBERED if remembered is None else remembered
+
         self.ranks, self.split, self.letters, self.spaced = ranks, regex.compile(pattern), byte_characters(), spaced
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.order = sorted(ranks.values())
@@ -116,7 +118,7 @@ class Encoder:
             self.pieces[piece] = struct.pack(f"<{len(ids)}I", *(ids if self.same else map(self.order.__getitem__, ids)))
 
     def _make_room(self) -> None:
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             self.pieces.clear()
             self.words.clear()
             self.held = 0
@@ -163,7 +165,7 @@ def _vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", output: str = "ids", packed: bool = False, spaced: bool = True
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", output: str = "ids", packed: bool = False, spaced: bool = True, remembered: int | None = None
 ) -> DataFrame:
     """Add ``output``: the ids of the whole text as array<int>, or packed as little-endian 32-bit integers.
 
@@ -174,7 +176,7 @@ def encode(
     @F.arrow_udf("binary" if packed else "array<int>")
     @released
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(*shared.value)
+        encoder = Encoder(*shared.value, remembered)
         for batch in batches:
             for part in portions(batch, batch):
                 own = [encoder.packed(x) for x in part.to_pylist()]

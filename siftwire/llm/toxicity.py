@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.llm.memory import portions, released
+from siftwire.session import stored
 
 #: Code points hashed at once; longer texts are taken in overlapping pieces, none is cut off.
 PIECE = 1 << 18
@@ -211,7 +212,8 @@ def fit(
     size = len(kept)
     vector = F.udf(lambda found: Vectors.sparse(size, found["at"], found["value"]), VectorUDT())
     grams = train.select(F.col("toxic").cast("double").alias("label"), _feature_udf(buckets, orders, bits, density)("text").alias("grams"))
-    rows = grams.select("label", vector("grams").alias("dense")).persist()
+    # Stored before the next Python step, so that a task never needs two Python workers at once.
+    rows = stored(grams, "grams").select("label", vector("grams").alias("dense")).persist()
     try:
         model = Pipeline(
             stages=[
