@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
-    """``name``: the sum of ``value`` up to and with the row, in the order of ``block``, then ``order``.
+def running(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column | str], value: Column, name: str, kind: str = "long") -> DataFrame:
+    """``name``: the sum, as ``kind``, of ``value`` up to and with the row, in the order of ``block``, then ``order``.
 
     Sums within blocks of the order and sums over blocks: a key with many rows is spread over its blocks. Null
     blocks come first, null keys are a key of their own.
@@ -21,4 +21,4 @@ def running(rows: DataFrame, keys: Sequence[str], block: Column, order: Sequence
     within = F.sum(value).over(Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__block"]]
     met = rows.withColumn("__within", within).alias("a").join(totals.alias("b"), same)
-    return met.select(*(F.col(f"a.{c}").alias(c) for c in rows.columns if c != "__block"), (F.col("__within") + F.col("__before")).cast("long").alias(name))
+    return met.select(*(F.col(f"a.{c}").alias(c) for c in rows.columns if c != "__block"), (F.col("__within") + F.col("__before")).cast(kind).alias(name))
