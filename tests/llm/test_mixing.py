@@ -62,3 +62,40 @@ def test_selection_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), ["lang"], {}, 1.0).count() == 0
+
+
+def test_budgets_as_tables_are_those_of_the_driver(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    for _ in range(4):
+        paths = {tuple(rng.choice("abcd") for _ in range(3)) for _ in range(rng.choice([1, 12, 40]))}
+        have = {p: rng.choice([0, 1, 7, 100, 1000]) for p in paths}
+        weights = {p[:k]: rng.choice([0.0, 0.5, 3.0]) for p in paths for k in (1, 2, 3) if rng.random() < 0.3}
+        leaves = spark.createDataFrame([("/".join(p), list(p), n) for p, n in have.items()], "leaf string, path array<string>, n long").repartition(3)
+        for budget in (0.0, 50.0, 0.6 * sum(have.values()), 1e6):
+            want = mixing.share_out(budget, weights, {p: 2.0 * n for p, n in have.items()})
+            got = {r["leaf"]: r["b"] for r in mixing.planned(leaves, weights, budget, 2.0, 3).collect()}
+            assert got.keys() == {"/".join(p) for p in have}
+            assert all(abs(got["/".join(p)] - want.get(p, 0.0)) < 1e-6 for p in have), (have, weights, budget)
+
+
+def test_more_leaves_than_the_driver_plans_for(spark, monkeypatch):
+    rows = [(i, "w " * (i * 5 % 11 + 1), "en" if i % 4 else None, f"s{i % 37}", "old") for i in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = lambda: sorted(map(tuple, mixing.mix(docs, ["lang", "source"], {("en",): 5.0, ("", "s0"): 0.0}, 0.7, max_epochs=2.0, seed=3).select("doc_id", "n_tokens", "epoch").collect()))
+    want = mixed()
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 10)
+    assert mixed() == want and want
+
+
+def test_shortage_of_weighted_children_goes_to_those_of_weight_0():
+    capacity = {("a",): 10.0, ("b",): 100.0, ("c",): 100.0}
+    assert mixing.share_out(70, {("b",): 0.0, ("c",): 0.0}, capacity) == {("a",): 10.0, ("b",): 30.0, ("c",): 30.0}
+    assert mixing.share_out(5, {("b",): 0.0, ("c",): 0.0}, capacity) == {("a",): 5.0, ("b",): 0.0, ("c",): 0.0}
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 500_000, "en", "a", ""), (2, "x y", "en", "a", ""), (3, "z", "de", "b", "")]
+    got = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, SCHEMA), ["lang", "source"], {}, 1.0, max_epochs=1.0).select("doc_id", "n_tokens", "epoch").collect()))
+    assert got == [(1, 500_000, 0), (2, 2, 0), (3, 1, 0)]
