@@ -199,8 +199,9 @@ def _placed(rows: DataFrame) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """(conv_id, turn, call_id, place, status, errors, json) of every call, and of every result without one.
 
-    ``json`` is the canonical message: arguments, call id, result, status and tool.
+    ``json`` is the canonical message: arguments, call id, result, status and tool. Other columns of the inputs are left out.
     """
+    calls, results, schemas = (df.select([f.split()[0] for f in fields.split(", ")]) for df, fields in ((calls, CALL), (results, RESULT), (schemas, SCHEMA)))
     key = ["conv_id", "call_id"]
     firsts = calls.where(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()).groupBy(*key).agg(F.min(F.struct("turn", "number")).alias("at"))
     marked = calls.join(firsts, key, "left").withColumn("first", F.coalesce(F.struct("turn", "number") == F.col("at"), F.lit(False))).drop("at")

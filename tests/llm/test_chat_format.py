@@ -121,9 +121,10 @@ def test_what_is_no_json_stays_none(spark):
 
 def test_very_long_texts_and_extra_columns(spark):
     long = '{"city": "' + 'x\\"1 ' * 200_000 + '", "days": [' + "1.0, " * 100_000 + "2]}"
-    calls = spark.createDataFrame([(1, 0, 0, "a", "get", long, [])], chat.CALL).withColumns({"json": F.lit("mine"), "place": F.lit(1), "status": F.lit("x")})
-    calls = calls.drop("json", "place", "status")
-    (row,) = chat.link(calls, spark.createDataFrame([], chat.RESULT), chat.schema_rows(spark, RULES)).collect()
+    more = {c: F.lit("mine") for c in ("json", "place", "status", "answer", "wave", "cyclic", "content", "at", "rules", "first", "turn_", "errors", "block")}
+    calls = spark.createDataFrame([(1, 0, 0, "a", "get", long, [])], chat.CALL).withColumns(more)
+    results = spark.createDataFrame([], chat.RESULT).withColumns({c: v for c, v in more.items() if c != "content"})
+    (row,) = chat.link(calls, results, chat.schema_rows(spark, RULES).withColumns(more)).collect()
     assert json.loads(row["json"])["arguments"] == json.loads(long)
     assert row["json"].startswith('{"arguments":{"city":"x\\"1 x') and '"days":[1,1,1,' in row["json"]
 

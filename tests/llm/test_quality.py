@@ -59,3 +59,10 @@ def test_empty_tables(spark):
     assert quality.assess(none, none).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f g h i j k", "")], SCHEMA)
     assert quality.assess(some, none).first()["llr"] == 0.0
+
+
+def test_very_long_texts(spark):
+    texts = [" ".join(f"w{i % 70_000}" for i in range(200_000)), "x" * 2_000_000, "a b\n" * 100_000, " ".join(f"v{i}" for i in range(150_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in quality.assess(docs, docs.where("doc_id = 3")).collect():
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == brute_force(row["text"])
