@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: How much of a plan's text Spark keeps for its status pages.
+_PLAN_TEXTS = {"spark.sql.maxPlanStringLength": "2048", "spark.sql.debug.maxToStringFields": "4"}
+
+
+@contextmanager
+def short_plan_texts(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside leave only the beginning of their plans' texts.
+
+    The driver keeps the texts of the last thousand plans, with or without status pages; those of iterative work
+    add up to hundreds of MB. The session's own settings are put back at the end.
+    """
+    before = {key: spark.conf.get(key) for key in _PLAN_TEXTS}
+    try:
+        for key, value in _PLAN_TEXTS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
