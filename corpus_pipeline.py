@@ -19,18 +19,36 @@ empty output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwire.llm import bpe, mixing, ngram_join, queries, secret_scan, toxicity
 from siftwire.llm.sized import sized
-from siftwire.session import stored
+from siftwire.session import short_plan_texts, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def frugal(stage: Stage) -> Stage:
+    """A stage whose many jobs leave little in the driver's memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with short_plan_texts(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
 
 #: The share of all tokens that the mix may take; no document is repeated.
 BUDGET = 0.9
 
 
+@frugal
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.where(~toxicity.held_out("doc_id")), labels.where(~toxicity.held_out("doc_id")))
@@ -38,6 +56,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("__score < 0.5").select(docs.columns)
 
 
+@frugal
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(ngram_join.near_duplicates(docs).where("doc_id is not null"), "near")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
@@ -49,17 +68,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
+@frugal
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forest = secret_scan.forest_sql(secret_scan.labelled_findings(spark))
     clean = secret_scan.redact(secret_scan.scan(docs, forest))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@frugal
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(queries.with_domain(docs), ["domain", "lang", "source"], queries.MIX, BUDGET, max_epochs=1.0, seed=1)
     return mixed.select(docs.columns)
 
 
+@frugal
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     # Less memory for words than the operator takes by itself: what the stages before have left in the executors counts too.
