@@ -7,10 +7,13 @@ the best rest can't reach the cap. Vectors of one label that share a filter are
 The cap is chosen by simulation so that pairs at exactly the threshold share a filter with probability
 ``recall``; closer pairs share more.
 
-Equal vectors of one label are one class and compared once. A pair that shares several filters counts in the
-first. A filter's vectors are dealt to blocks of about ``block`` of them, and each task compares two blocks,
-so that a filter with any share of all vectors is spread; a task takes many filters, one after the other, and
-returns counts and the roots of a local union-find, never the pairs.
+Equal vectors of one label are one class and compared once. Filters meet twice, since a vector stands in twenty
+of them or more and copies of it in all would take many times the input's disk. First only class numbers and 128
+signs of random projections are dealt to the filters; a class stays in a filter if another one there differs in
+no more signs than a pair at the threshold does, but for a chance of ``MISSED``. Only what stays gets its vectors.
+They are dealt to blocks of about ``block`` of them, and each task compares two blocks, so that a filter with any
+share of all vectors is spread; a task takes many filters, one after the other, and returns counts and the roots
+of a local union-find, never the pairs. A pair that shares several filters counts in the first.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
 null label, link with nothing. Only vectors with equally many components are compared. Rows may repeat: each
@@ -20,11 +23,14 @@ row counts as a vector. Null ids are never a component's name. No rows give no r
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,12 @@ from siftwire.session import checkpointed, stored
 
 #: Vectors decoded at once.
 _CHUNK = 256
+#: Signs of random projections of a class, as two longs.
+SIGNS = 128
+#: The chance that a pair at the threshold differs in more signs than are let through.
+MISSED = 1e-7
+#: Classes of a filter whose signs one task compares; those of a larger filter all stay.
+MOST = 8192
 
 
 @lru_cache(maxsize=64)
@@ -68,12 +80,38 @@ def _decode(unit: np.ndarray, blocks: int, words: int, cap: float, seed: int) ->
         at += part.shape[1]
     best = [s.max(axis=1) for s in scores]
     row, word, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-    for k, score in enumerate(scores):
+    for k, score in enumerate(scores[:-1]):
         sums = total[:, None] + score[row]
         left = sum((b[row] for b in best[k + 1 :]), np.zeros(len(row)))  # the most that further blocks can add
         i, j = np.nonzero(sums >= (cap - left)[:, None])
         row, word, total = row[i], word[i] * words + j, sums[i, j]
-    return row, word
+    # The last block's scores in falling order: what reaches the cap is a beginning of them, found without a look at the rest.
+    order = np.argsort(-scores[-1], axis=1)
+    falling = (np.arange(len(unit)) * 4.0)[:, None] - np.take_along_axis(scores[-1], order, axis=1)
+    reach = np.searchsorted(falling.ravel(), row * 4.0 - (cap - total), side="right") - row * words
+    place = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+    row = np.repeat(row, reach)
+    return row, np.repeat(word, reach) * words + order[row, place]
+
+
+@lru_cache(maxsize=64)
+def _planes(dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dims]).normal(size=(dims, SIGNS))
+
+
+def signs(unit: np.ndarray, seed: int) -> np.ndarray:
+    """The signs of random projections of each row, packed into two longs."""
+    return np.packbits(unit @ _planes(unit.shape[1], seed) > 0, axis=1).view("<i8")
+
+
+def differing(threshold: float) -> int:
+    """The number of signs in which a pair at the threshold differs at most, but for a chance of MISSED."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    rest, most = 1.0, -1
+    while rest > MISSED and most < SIGNS:
+        most += 1
+        rest -= math.comb(SIGNS, most) * p**most * (1 - p) ** (SIGNS - most)
+    return most
 
 
 def choose_cap(dims: int, codes: int, blocks: int, words: int, threshold: float, recall: float, seed: int, trials: int = 2000) -> float:
@@ -85,23 +123,16 @@ def choose_cap(dims: int, codes: int, blocks: int, words: int, threshold: float,
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     y = threshold * x + np.sqrt(1 - threshold**2) * y
     width = codes * words ** min(blocks, dims)
-    for cap in np.arange(0.5, 0.0, -0.02):
+    grid = np.arange(0.9, 0.0, -0.005)
+    low, high = 0, len(grid)  # a lower cap has all filters of a higher one, so that the first cap that does is found by halving
+    while low < high:
+        cap = grid[(low + high) // 2]
         keys = [set((row * width + word).tolist()) for row, word in (decode(v, codes, blocks, words, cap, seed) for v in (x, y))]
         if len({k // width for k in keys[0] & keys[1]}) >= recall * trials:
-            return float(cap)
-    return 0.0
-
-
-def _numbers(vector, kind: str) -> np.ndarray | None:
-    """The components as an array, or None if they link with nothing."""
-    if vector is None or not len(vector):
-        return None
-    try:
-        values = np.asarray(vector, dtype=float)
-    except TypeError:  # a null component
-        return None
-    values = values.astype(kind)
-    return values if np.isfinite(values).all() and values.any() else None
+            high = (low + high) // 2
+        else:
+            low = (low + high) // 2 + 1
+    return float(grid[low]) if low < len(grid) else 0.0
 
 
 def _units(raw: pd.Series, kind: str) -> np.ndarray:
@@ -115,28 +146,62 @@ _GROUP = ["label", "dims", "filter", "low", "high"]
 
 def _joined(near: np.ndarray) -> np.ndarray:
     """The smallest row that links reach, for each row of a symmetric matrix."""
-    parent = np.arange(len(near))
-    for i in range(len(near)):
-        roots = np.append(parent[near[i]], parent[i])
-        parent[np.isin(parent, roots)] = roots.min()
+    parent, before = np.arange(len(near)), None
+    while before is None or (parent != before).any():
+        before = parent
+        parent = np.minimum(parent, np.where(near, parent, len(near)).min(axis=1))
+        parent = parent[parent]
     return parent
 
 
-def _links(group: pd.DataFrame, near: np.ndarray, own: int) -> pd.DataFrame:
-    """Of the linked rows of two blocks of a filter: links counted in their first common filter, and local roots."""
-    order = np.argsort(group["key"].to_numpy(), kind="stable")
-    group, near = group.iloc[order], near[np.ix_(order, order)]
-    root = group["key"].to_numpy()[_joined(near)]
-    lists = [np.frombuffer(x, "<i8") for x in group["filters"]]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = np.concatenate(lists)
-    row, flat = row[flat < own], flat[flat < own]
+def _links(key: np.ndarray, copies: np.ndarray, filters: np.ndarray, near: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the linked rows of two blocks of a filter: keys, links counted in their first common filter, and local roots."""
+    order = np.argsort(key, kind="stable")
+    key, copies, filters, near = key[order], copies[order], filters[order], near[np.ix_(order, order)]
+    root = key[_joined(near)]
+    lists = [x[: np.searchsorted(x, own)] for x in filters]  # ascending
+    row, flat = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
     if len(flat):
         names, column = np.unique(flat, return_inverse=True)
         has = np.zeros((len(lists), len(names)), np.float32)
         has[row, column] = 1
         near = near & (has @ has.T == 0)
-    return pd.DataFrame({"key": group["key"], "links": near @ group["copies"].to_numpy().astype(np.int64), "root": root})
+    return key, near @ copies, root
+
+
+def _meet(differ: int):
+    """Of (part, filter, node, s0, s1) in order, the classes that may link in a filter; a filter may cross batches."""
+
+    def met(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        part, name, node, first, second = columns
+        stays = np.zeros(len(node), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > MOST:
+                stays[a:b] = True
+            elif b - a > 1:
+                x, y = first[a:b], second[a:b]
+                for at in range(0, b - a, _CHUNK):
+                    apart = np.bitwise_count(x[at : at + _CHUNK, None] ^ x) + np.bitwise_count(y[at : at + _CHUNK, None] ^ y)
+                    stays[a + at : a + at + len(apart)] = np.count_nonzero(apart <= differ, axis=1) > 1
+        return pa.RecordBatch.from_pydict({"part": part[stays], "filter": name[stays], "node": node[stays]})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            columns[3:] = [c.view(np.uint64) for c in columns[3:]]
+            if rest is not None:
+                columns = [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
+            part, name = columns[:2]
+            starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (name[1:] != name[:-1]))))
+            yield met([c[: starts[-1]] for c in columns], starts[:-1], starts[1:])
+            rest = [c[starts[-1] :] for c in columns]
+        if rest is not None:
+            yield met(rest, np.zeros(1, int), np.array([len(rest[0])]))
+
+    return released(meet)
 
 
 def _compare(kind: str, threshold: float):
@@ -151,10 +216,10 @@ def _compare(kind: str, threshold: float):
         return np.flatnonzero(differs)
 
     def compared(rows: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        block, dims = rows["block"].to_numpy(), rows["dims"].to_numpy()
+        block, dims, low, high, own_filter, key, copies, filters = (rows[c].to_numpy() for c in ("block", "dims", "low", "high", "filter", "key", "copies", "filters"))
         ends = np.append(starts[1:], len(rows))
-        unit, unit_from, unit_to = None, 0, 0
-        for a, b in zip(starts, ends, strict=True):
+        unit, unit_from, unit_to, found = None, 0, 0, []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a < 2:
                 continue
             if b > unit_to:  # the units of the groups that follow, as far as they have equally many components
@@ -164,11 +229,14 @@ def _compare(kind: str, threshold: float):
             own = unit[a - unit_from : b - unit_from]
             near = own @ own.T >= threshold
             np.fill_diagonal(near, False)
-            if rows["low"].iat[a] != rows["high"].iat[a]:
+            if low[a] != high[a]:
                 near &= block[a:b, None] != block[None, a:b]
             linked = np.flatnonzero(near.any(axis=1))
             if len(linked):
-                yield _links(rows.iloc[a + linked], near[np.ix_(linked, linked)], int(rows["filter"].iat[a]))
+                at = a + linked
+                found.append(_links(key[at], copies[at], filters[at], near[np.ix_(linked, linked)], own_filter[a]))
+        if found:
+            yield pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(("key", "links", "root"), zip(*found, strict=True), strict=True)})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -205,22 +273,33 @@ def near_duplicates(
     """
     kind = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, bytes] = {}
         for batch in batches:
-            rows = []
-            for name, vector in zip(batch["label"], batch["embedding"], strict=True):
-                values = None if name is None else _numbers(vector, kind)
-                rows.append((None, None, None) if values is None else (hashlib.blake2b(values.tobytes(), digest_size=16, key=hashlib.blake2b(name.encode()).digest()).digest(), values.tobytes(), len(values)))
+            lists = batch.column("embedding")
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)  # null components are NaN
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+            odd, some = (np.concatenate(([0], np.cumsum(x)))[ends] for x in (~np.isfinite(values), values != 0))
+            usable, data, rows = (odd[1:] == odd[:-1]) & (some[1:] > some[:-1]), values.tobytes(), []
+            for i, name in enumerate(batch.column("label").to_pylist()):
+                if name is None or not usable[i]:
+                    rows.append((None, None, None))
+                    continue
+                if name not in names:
+                    if len(names) >= 10_000:
+                        names.clear()
+                    names[name] = hashlib.blake2b(name.encode()).digest()
+                raw = data[ends[i] * values.itemsize : ends[i + 1] * values.itemsize]
+                rows.append((hashlib.blake2b(raw, digest_size=16, key=names[name]).digest(), raw, len(raw) // values.itemsize))
             key, raw, dims = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "key": key, "raw": raw, "dims": pd.array(dims, "Int32")})
+            found = {"key": pa.array(key, pa.binary()), "raw": pa.array(raw, pa.binary()), "dims": pa.array(dims, pa.int32())}
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "label": batch.column("label"), **found})
 
     id_type = dict(vectors.dtypes)[vec_id]
-    chosen = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).cast("string").alias("label"))
-    rows = stored(chosen.mapInPandas(keyed, f"vec_id {id_type}, label string, key binary, raw binary, dims int"), "vectors")
-    classes = stored(
-        rows.where(F.col("key").isNotNull()).groupBy("label", "dims", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("raw").alias("raw")), "classes"
-    )
-    sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    chosen = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
+    # Read twice: to be kept, it would take as much disk as the input.
+    rows = chosen.mapInArrow(keyed, f"vec_id {id_type}, label string, key binary, raw binary, dims int")
+    sizes = {r["dims"]: r["n"] for r in chosen.where("label is not null").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).where("dims > 0").collect()}
     plan = {}
     for dims, n in sizes.items():
         words = max(4, int(np.ceil((n / per_filter / codes) ** (1 / min(blocks, dims)))))
@@ -230,18 +309,25 @@ def near_duplicates(
         for batch in batches:
             for dims, part in batch.groupby("dims"):
                 words, cap = plan[dims]
-                row, word = decode(_units(part["raw"], kind), codes, blocks, words, cap, seed)
+                unit = _units(part["raw"], kind)
+                row, word = decode(unit, codes, blocks, words, cap, seed)
                 ends = np.searchsorted(row, np.arange(len(part) + 1))
-                lists = [word[a:b].astype("<i8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                out = part.assign(filters=lists).iloc[row]
-                yield out.assign(filter=word)[["label", "dims", "key", "copies", "raw", "filters", "filter"]]
-
-    met = classes.select("label", "dims", "key", "copies", "raw").mapInPandas(to_filters, "label string, dims int, key binary, copies long, raw binary, filters binary, filter long")
-    met = stored(met, "filters")
-    counts = met.groupBy("label", "dims", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    placed = met.join(sized(counts), ["label", "dims", "filter"]).withColumn("blocks", F.ceil(F.col("n") / block))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = placed.select("label", "dims", "filter", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "block", "key", "copies", "raw", "filters")
+                s0, s1 = signs(unit, seed).T
+                yield part.assign(filters=[word[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], s0=s0, s1=s1)
+
+    equal = rows.where(F.col("key").isNotNull()).groupBy("label", "dims", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("raw").alias("raw"))
+    classes = equal.mapInPandas(to_filters, f"label string, dims int, key binary, copies long, first_id {id_type}, raw binary, filters array<long>, s0 long, s1 long")
+    # A class is named by a number from here on; the numbers are written once and read from then on.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    place = ["part", "filter"]
+    met = classes.select(F.xxhash64("label", "dims").alias("part"), F.explode("filters").alias("filter"), "node", "s0", "s1").repartition(*place).sortWithinPartitions(*place)
+    stay = stored(met.mapInArrow(_meet(differing(threshold)), "part long, filter long, node long"), "filters")
+    large = stay.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    placed = stay.join(sized(large), place, "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / block))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("filter", "node", F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"), "block")
+    pairs = classes.select("node", "label", "dims", "key", "copies", "raw", "filters").join(sized(placed), "node").drop("node")
     dealt = pairs.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     compared = checkpointed(dealt.mapInPandas(_compare(kind, threshold), "key binary, links long, root binary"))
 

@@ -1,8 +1,10 @@
 import math
+from pathlib import Path
 
 import numpy as np
 
 from siftwire.llm import embed_dedup
+from siftwire.session import shared_folder
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -92,3 +94,39 @@ def test_recall_of_the_whole_query_at_its_own_settings(spark):
     component = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in got.collect()}
     found = [component[i + pairs] == (i, 1) and component[i] == (i, 1) for i in range(pairs)]
     assert sum(found) >= 0.97 * pairs and all(component[i] == (i, 0) for i in range(2 * pairs, len(rows)))
+
+
+def test_vectors_are_not_copied_to_all_filters(spark):
+    """What is written beside the shuffles stays under four times the vectors' bytes; a vector stands in a dozen filters or more."""
+    rng, n = np.random.default_rng(8), 6000
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(rng.normal(size=(n, 64)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    assert embed_dedup.near_duplicates(vectors).where("n_links > 0").count() == 0
+    assert size() - before < 4 * n * 64 * 4
+
+
+def test_decoding_finds_what_a_look_at_all_filters_finds():
+    rng = np.random.default_rng(4)
+    for dims, blocks, words, cap in ((24, 2, 7, 0.3), (24, 3, 4, 0.25), (3, 1, 5, 0.5), (1, 2, 4, 0.9)):
+        unit = rng.normal(size=(300, dims))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        got = set(zip(*map(np.ndarray.tolist, embed_dedup.decode(unit, 1, blocks, words, cap, 6)), strict=True))
+        rotation, parts = embed_dedup.product_code(dims, blocks, words, 6)
+        turned, sums, at = unit @ rotation, np.zeros((300, 1)), 0
+        for part in parts:
+            sums = (sums[:, :, None] + (turned[:, at : at + part.shape[1]] @ part.T)[:, None, :]).reshape(300, -1)
+            at += part.shape[1]
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(sums >= cap)), strict=True)) and got
+
+
+def test_signs_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    apart = np.bitwise_count(embed_dedup.signs(x, 5).view(np.uint64) ^ embed_dedup.signs(y, 5).view(np.uint64)).sum(axis=1)
+    assert apart.max() <= embed_dedup.differing(0.93) < 40
