@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Words: ASCII digits, lower-case ASCII letters and all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same characters for Spark, named one by one: Java matches them many times faster than what a negated class leaves.
+SPARK_WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -76,7 +78,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(lowered: Column) -> Column:
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(SPARK_WORD), F.lit(0))
 
 
 def _tokens(text: str) -> list[str]:
