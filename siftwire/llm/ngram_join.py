@@ -12,8 +12,9 @@ The method is a grouped prefix join.
 
 Only connectivity is asked of large groups of copies, so a list of groups that share a shingle is first
 compared with one of its members, the one with the fewest rarer shingles, the components of the links found are taken, and only pairs of members
-in different components are compared after that. No link between components is lost, and the pairs within
-a group of copies are never all made.
+in different components are compared after that. The member that all were compared with has no pair left and goes, and
+with it each list that had two members, as most of the lists of groups that meet by chance. No link between components
+is lost, and the pairs within a group of copies are never all made.
 
 Defined results: a null text and a text without words have the empty set and link with nothing; a text with
 fewer words than a shingle has one shingle, its whole sequence. The similarity bound is a whole percentage,
@@ -221,13 +222,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
         lead = F.struct(F.struct(F.when(F.lit(turn == 0), F.col("at")).otherwise(0), draw).alias("draw"), *(F.col(c) for c in ("node", "component", "n", "at")))
         heads = (
             placed.groupBy("shingle")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"), F.max("hot").alias("hot"))
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(lead).alias("head"), F.max("hot").alias("hot"), F.count("*").alias("members"))
             .where("low <> high")
-            .select("shingle", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))), "head.*")
-            .toDF("shingle", "salt", "draw", "h_node", "h_component", "h_n", "h_at")
+            .select("shingle", "members", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))), "head.*")
+            .toDF("shingle", "members", "salt", "draw", "h_node", "h_component", "h_n", "h_at")
             .drop("draw")
         )
         still = placed.join(heads, ["shingle", "salt"])  # members of lists that aren't one component yet
+        if turn < star_rounds:
+            still = stored(still, "stars")
+            # Every pair of a head is decided by this round: the next ones take lists without it, where two members are left at least.
+            rows = still.where("members > 2 and node <> h_node").select(rows.columns)
         others = still.where(F.col("component") != F.col("h_component"))
         if turn < star_rounds:
             near = _may_link(F.col("n"), F.col("at"), F.col("h_n"), F.col("h_at"), percent)

@@ -96,3 +96,22 @@ def test_hot_lists_are_whole(spark, monkeypatch):
     rows = made_up(7)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), 3, 90)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_force(rows, 3, 90), key=key)
+
+
+def test_no_pair_is_compared_again_after_its_list_was_compared_with_one_member(spark, monkeypatch):
+    """Sets of words that meet by chance in lists of few: what the star of a list decided is not asked again."""
+    rng, rounds, verified = random.Random(9), [], ngram_join._verified
+
+    def recorded(docs, pairs, *rest):
+        rounds.append({(r["a"], r["b"]) if r["a"] < r["b"] else (r["b"], r["a"]) for r in pairs.distinct().collect()})
+        return verified(docs, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", recorded)
+    # Sets of two parts; each half stands in two sets, so that all lists have two members.
+    halves = [[f"h{k}w{i}" for i in range(12)] for k in range(40)]
+    rows = [(k, " ".join(rng.sample(halves[k], 12) + rng.sample(halves[(k + 1) % 40], 12)), "") for k in range(40)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 1, 30)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_force(rows, 1, 30), key=key)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 1, 50)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_force(rows, 1, 50), key=key)
+    assert len(rounds) == 4 and all(rounds[::2]) and not any(first & second for first, second in zip(rounds[::2], rounds[1::2], strict=True))
