@@ -58,11 +58,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frugal
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(ngram_join.near_duplicates(docs).where("doc_id is not null"), "near")
+    found = ngram_join.near_duplicates(docs).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = stored(ids.where("not stays or n > 1"), "near")
     kept = docs.join(sized(ids.where("not stays").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    repeated = sized(ids.where("stays and n > 1").select("doc_id"))
-    if not ids.where("stays and n > 1").limit(1).count():
+    repeated = sized(ids.where("stays").select("doc_id"))
+    if not ids.where("stays").limit(1).count():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from siftwire.llm import shingles
 from siftwire.llm.components import components
 from siftwire.llm.memory import portions, released
-from siftwire.llm.sized import sized
+from siftwire.llm.sized import BROADCAST_ROWS, sized
 from siftwire.session import checkpointed, stored
 
 #: Counters of hashed shingles, whatever the corpus (4 MB); they only set the order of shingles.
@@ -129,9 +129,8 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, set_key binary, group_key long, prefix array<long>, cold int, sketch array<short>")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, members) of the texts whose id is in ``wanted`` (doc_id), recomputed; equal ids may add more."""
-    ids = sized(wanted.select("doc_id").distinct())
+def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(set_key, members) of the texts whose id is in ``ids`` (doc_id), recomputed; equal ids may add more."""
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
 
     @released
@@ -146,24 +145,28 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class nodes whose Jaccard similarity is at least ``percent``; only their texts are read again.
+    """The pairs (a, b) of class nodes whose Jaccard similarity is at least ``percent``, which may repeat; only their texts are read again.
 
     The sets of a go to those of b, so a pair costs least where b stands in many pairs. A set of b is taken once,
     however often its row repeats.
     """
-    of = lambda name: classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"), F.col("set_key").alias(f"k_{name}"))
+    of = lambda name: classes.select(*(F.col(x).alias(f"{y}_{name}") for x, y in (("n", "n"), ("sketch", "s"), ("set_key", "k"), ("doc_id", "d"))), F.col("node").alias(name))
     most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
     may = F.coalesce((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
-    pairs = checkpointed(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b", "k_a", "k_b"))
+    pairs = checkpointed(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b", "k_a", "k_b", "d_a", "d_b"))
+    # The pairs are counted once; few pairs have few ids.
+    some = pairs.limit(BROADCAST_ROWS + 1).count()
+    if not some:
+        return pairs.select("a", "b")
+    narrow = F.broadcast if some <= BROADCAST_ROWS else sized
 
     def sets(name: str) -> DataFrame:
-        asked = sized(pairs.select(F.col(name).alias("node")).distinct())
-        return whole_sets(docs, classes.join(asked, "node", "left_semi"), width)
+        return whole_sets(docs, narrow(pairs.select(F.col(f"d_{name}").alias("doc_id")).distinct()), width)
 
-    left = sets("a").withColumnsRenamed({"set_key": "k_a", "members": "left"}).join(sized(pairs), "k_a").select("a", "b", "k_b", "left")
+    left = sets("a").withColumnsRenamed({"set_key": "k_a", "members": "left"}).join(narrow(pairs.drop("d_a", "d_b")), "k_a").select("a", "b", "k_b", "left")
     right = sets("b").groupBy(F.col("set_key").alias("k_b")).agg(F.first("members").alias("right"))
     both = left.join(right, "k_b").select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b").distinct()
+    return both.where(100 * F.col("common") >= percent * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b")
 
 
 def candidate_lists(signed: DataFrame) -> DataFrame:
@@ -211,10 +214,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
     rows = stored(lists.join(classes.select("group_key", "node"), "group_key").withColumn("salt", salt).drop("group_key"), "members")
 
-    links = None
     labels = None
     for turn in range(star_rounds + 1):
-        placed = rows if labels is None else rows.join(labels, "node", "left")
+        placed = rows if labels is None else rows.join(labels.hint("merge"), "node", "left")
         placed = placed.withColumn("component", F.coalesce("component", "node") if labels is not None else F.col("node"))
         # The member with the fewest rarer shingles, an original among its copies; then by a seeded hash.
         # Lists that are one component by now are done.
@@ -228,9 +230,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
             .toDF("shingle", "members", "salt", "draw", "h_node", "h_component", "h_n", "h_at")
             .drop("draw")
         )
-        still = placed.join(heads, ["shingle", "salt"])  # members of lists that aren't one component yet
+        # Members of lists that aren't one component yet; stored, as what follows reads them twice.
+        still = stored(placed.join(heads, ["shingle", "salt"]), "stars")
         if turn < star_rounds:
-            still = stored(still, "stars")
             # Every pair of a head is decided by this round: the next ones take lists without it, where two members are left at least.
             rows = still.where("members > 2 and node <> h_node").select(rows.columns)
         others = still.where(F.col("component") != F.col("h_component"))
@@ -248,8 +250,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
             once = (F.col("m_component") == F.col("h_component")) | (F.col("node") < F.col("m_node"))
             met = others.join(mates, ["shingle", "step"]).where((F.col("component") != F.col("m_component")) & once & near)
             pairs = met.select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
-        new = checkpointed(_verified(docs, pairs, classes, width, percent))
-        links = new if links is None else links.unionByName(new)
+        links = _verified(docs, pairs, classes, width, percent)
+        if labels is not None:  # what the links so far reach is known: each node's link to its component stands for them
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = checkpointed(components(links, "a", "b"))
 
     named = classes.join(labels, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -61,20 +61,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: How much of a plan's text Spark keeps for its status pages.
-_PLAN_TEXTS = {"spark.sql.maxPlanStringLength": "2048", "spark.sql.debug.maxToStringFields": "4"}
+#: How much of a plan's text Spark keeps for its status pages, and no Bloom filters beside joins: a checkpoint's
+#: size counts as unknown, so each join with one would get a filter that goes through the driver and into every task's closure.
+_FRUGAL = {"spark.sql.maxPlanStringLength": "2048", "spark.sql.debug.maxToStringFields": "4", "spark.sql.optimizer.runtime.bloomFilter.enabled": "false"}
 
 
 @contextmanager
 def short_plan_texts(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run inside leave only the beginning of their plans' texts.
+    """Jobs that run inside leave only the beginning of their plans' texts, and no Bloom filters in the driver.
 
     The driver keeps the texts of the last thousand plans, with or without status pages; those of iterative work
     add up to hundreds of MB. The session's own settings are put back at the end.
     """
-    before = {key: spark.conf.get(key) for key in _PLAN_TEXTS}
+    before = {key: spark.conf.get(key) for key in _FRUGAL}
     try:
-        for key, value in _PLAN_TEXTS.items():
+        for key, value in _FRUGAL.items():
             spark.conf.set(key, value)
         yield
     finally:

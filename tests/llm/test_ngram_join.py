@@ -115,3 +115,15 @@ def test_no_pair_is_compared_again_after_its_list_was_compared_with_one_member(s
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 1, 50)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_force(rows, 1, 50), key=key)
     assert len(rounds) == 4 and all(rounds[::2]) and not any(first & second for first, second in zip(rounds[::2], rounds[1::2], strict=True))
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    kept, checkpointed = [], components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: kept.append(df) or checkpointed(df))
+    links = [(5, j) for j in range(400, 420)] + [(21, 20), (20, 21), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {j: 5 for j in [5, *range(400, 420)]} | {20: 20, 21: 20}
+    assert len(kept) == 1
+    # A path's middle isn't its smallest node.
+    got = components.components(spark.createDataFrame([(3, 9), (1, 9), (9, 12)], "a long, b long"), "a", "b").collect()
+    assert {r["node"]: r["component"] for r in got} == {1: 1, 3: 1, 9: 1, 12: 1} and len(kept) > 2

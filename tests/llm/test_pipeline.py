@@ -85,3 +85,10 @@ def test_held_out_labels_teach_nothing(spark, tmp_path):
     docs = spark.createDataFrame(rows, SCHEMA)
     kept = [sorted(map(str, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / x)).collect())) for x in "ab"]
     assert kept[0] == kept[1]
+
+
+def test_joins_with_checkpoints_get_no_bloom_filters_in_stages(spark):
+    key = "spark.sql.optimizer.runtime.bloomFilter.enabled"
+    before = spark.conf.get(key)
+    assert corpus_pipeline.frugal(lambda spark, docs, sf_dir: spark.conf.get(key))(spark, None, "") == "false"
+    assert spark.conf.get(key) == before
