@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,13 +31,18 @@ _ITEM = [f.split()[0] for f in EVENT.split(", ") if not f.startswith("kind")]
 ITEM = ", ".join(f for f in EVENT.split(", ") if not f.startswith("kind"))
 BEST = f"n long, first_seq long, top array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>"
 OUTPUT = f"bucket int, what string, cycle long, at long, done long, complete boolean, first_seq long, {ITEM}"
+#: Rows that a bucket gives out at a time.
+ROWS = 20_000
 #: State variables need this provider.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_ID, _SCORE = _ITEM.index("id"), _ITEM.index("score")
+
+
 def _rank(item: tuple) -> tuple:
     """The best item has the largest value: score, a missing one is 0, then the earlier place."""
-    return (item[_ITEM.index("score")] or 0.0, -item[0])
+    return (item[_SCORE] or 0.0, -item[0])
 
 
 class DigestState(StatefulProcessor):
@@ -58,71 +64,120 @@ class DigestState(StatefulProcessor):
     def _position(self) -> tuple[int, int]:
         return tuple(self.cycle.get()) if self.cycle.exists() else (0, self.default_total)
 
-    def _accept(self, rows: list[tuple]) -> list[tuple]:
-        """The rows that the cycle keeps; they are in the state then."""
-        kept, best = [], {}
-        for row in rows:
-            key = row[_ITEM.index("id")] or ""
-            if key:
-                if self.seen.containsKey((key,)):
-                    continue
-                self.seen.updateValue((key,), (row[0],))
-            kept.append(row)
-            best.setdefault(row[1] if row[1] is not None else "?", []).append(row)
-        if kept:
-            self.items.appendList(kept)
-        for source, new in best.items():
-            n, first, top = self.best.getValue((source,)) if self.best.containsKey((source,)) else (0, new[0][0], [])
-            top = heapq.nlargest(self.per_source, [*map(tuple, top), *new], key=_rank)
-            self.best.updateValue((source,), (n + len(new), min(first, *(r[0] for r in new)), top))
-        return kept
+    def _begin(self, stored: bool) -> None:
+        """A cycle's rows of one batch, in memory until ``_save``; ``stored``: the state has earlier rows of the cycle.
+
+        Each call of the state is a message to the JVM, so what a cycle loses at a reset in the same batch never gets there.
+        """
+        self.stored, self.ask = stored, stored and self.seen.exists()
+        self.new_sources: dict[str, int] = {}
+        self.new_ids: dict[str, int] = {}
+        self.new_items: list[tuple] = []
+        # Of each source: number, first place, best items so far, items not yet compared with these.
+        self.ranked: dict[str, list] = {}
+        self.changed: set[str] = set()
+        self.done = {k[0] for k in self.reported.keys()} if stored else set()
+        if stored:
+            self.ranked = {k[0]: [n, first, [*map(tuple, top)], []] for k, (n, first, top) in self.best.iterator()}
+
+    def _accept(self, row: tuple) -> bool:
+        """Whether the cycle keeps the row."""
+        key = row[_ID] or ""
+        if key:
+            if key in self.new_ids or (self.ask and self.seen.containsKey((key,))):
+                return False
+            self.new_ids[key] = row[0]
+        self.new_items.append(row)
+        source = row[1] if row[1] is not None else "?"
+        own = self.ranked.get(source)
+        if own is None:
+            own = self.ranked[source] = [0, row[0], [], []]
+        own[0] += 1
+        if row[0] < own[1]:
+            own[1] = row[0]
+        own[3].append(row)
+        if len(own[3]) >= 1000:
+            self._top(source)
+        self.changed.add(source)
+        return True
+
+    def _top(self, source: str) -> list[tuple]:
+        own = self.ranked[source]
+        if own[3]:
+            own[2], own[3] = heapq.nlargest(self.per_source, [*own[2], *own[3]], key=_rank), []
+        return own[2]
+
+    def _report(self, source: str, seq: int) -> int:
+        """The number of finished sources, this one counted."""
+        if source not in self.done:
+            self.done.add(source)
+            self.new_sources[source] = seq
+        return len(self.done)
+
+    def _save(self) -> None:
+        if not self.stored:
+            for state in (self.reported, self.seen, self.items, self.best):
+                state.clear()
+        for source, seq in self.new_sources.items():
+            self.reported.updateValue((source,), (seq,))
+        for name, seq in self.new_ids.items():
+            self.seen.updateValue((name,), (seq,))
+        if self.new_items:
+            self.items.appendList(self.new_items)
+        for source in self.changed:
+            self.best.updateValue((source,), (*self.ranked[source][:2], self._top(source)))
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
         """Rows of a snapshot: (cycle, total, reported) and items."""
+        self._begin(True)
         for row in initialState.itertuples():
             self.cycle.update((int(row.cycle), int(row.total)))
             if row.reported is not None:
-                self.reported.updateValue((row.reported,), (0,))
-        self._accept(_tuples(initialState[initialState["reported"].isna() & initialState["seq"].notna()]))
+                self._report(row.reported, 0)
+        for row in _tuples(initialState[initialState["reported"].isna() & initialState["seq"].notna()]):
+            self._accept(row)
+        self._save()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        kinds, items_ = batch["kind"].tolist(), _tuples(batch)
         cycle, total = self._position()
-        waiting: list[tuple] = []
+        out: list[tuple] = []
         nothing = (None,) * len(_ITEM)
-
-        def flush() -> None:
-            out.extend((key[0], "kept", cycle, row[0], None, None, None, *row) for row in self._accept(waiting))
-            waiting.clear()
-
-        for kind, row in zip(batch["kind"], _tuples(batch), strict=True):
+        self._begin(True)
+        for kind, row in zip(kinds, items_, strict=True):
             if kind == "item":
-                waiting.append(row)
+                if self._accept(row):
+                    out.append((key[0], "kept", cycle, row[0], None, None, None, *row))
                 continue
-            flush()
             due = kind == "regenerate"
             if kind == "reset":
                 cycle += 1
-                for state in (self.reported, self.seen, self.items, self.best):
-                    state.clear()
+                self._begin(False)
             elif kind == "done":
-                if not self.reported.containsKey((row[1] or "",)):
-                    self.reported.updateValue((row[1] or "",), (row[0],))
-                done = sum(1 for _ in self.reported.keys())
+                done = self._report(row[1] or "", row[0])
                 due = done >= total
                 if key[0] == 0:
                     out.append((key[0], "progress", cycle, row[0], done, due, None, None, row[1], *nothing[2:]))
             if due:
                 out.append((key[0], "due", cycle, row[0], None, None, None, *nothing))
-                for _, (_, first, top) in self.best.iterator():
-                    out.extend((key[0], "part", cycle, row[0], None, None, first, *item) for item in map(tuple, top))
-        flush()
+                for source, own in self.ranked.items():
+                    out.extend((key[0], "part", cycle, row[0], None, None, own[1], *item) for item in self._top(source))
+            if len(out) >= ROWS:
+                yield _made(out)
+                out = []
+        self._save()
         self.cycle.update((cycle, total))
-        columns = [f.split()[0] for f in OUTPUT.split(", ")]
-        made = pd.DataFrame(out, columns=[*columns[:7], *(f"item_{c}" for c in _ITEM)])
-        made.columns = columns
-        yield made
+        yield _made(out)
+
+
+def _made(out: list[tuple]) -> pd.DataFrame:
+    """Rows of OUTPUT; whole numbers stay whole beside missing ones."""
+    columns = [f.split()[0] for f in OUTPUT.split(", ")]
+    values = np.empty((len(out), len(columns)), dtype=object)
+    if out:
+        values[:] = out
+    return pd.DataFrame(values, columns=columns, copy=False)
 
 
 def _tuples(rows: pd.DataFrame) -> list[tuple]:

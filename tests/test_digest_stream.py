@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siftwire.operators import cycles, items
@@ -108,3 +109,42 @@ def test_a_due_digest_without_items(spark, tmp_path):
     spark.createDataFrame([(1, "reset", *[None] * 7), (2, "regenerate", *[None] * 7)], digest.EVENT).write.parquet(f"{tmp_path}/log")
     assert digest.run(jobs.log(spark, f"{tmp_path}/log", digest.EVENT), 2, f"{tmp_path}/out", f"{tmp_path}/check", buckets=2).awaitTermination(300)
     assert sorted_rows(spark.read.parquet(f"{tmp_path}/out/digests").select("cycle", "at")) == [(1, 2)]
+
+
+class Calls:
+    """A state variable in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: bool(self.kept), "get": lambda: self.kept[()], "clear": self.kept.clear, "update": lambda v: self.kept.update({(): v}),
+            "containsKey": lambda k: k in self.kept, "getValue": lambda k: self.kept[k], "updateValue": self.kept.__setitem__, "keys": lambda: iter(list(self.kept)),
+            "iterator": lambda: iter(list(self.kept.items())), "appendList": lambda rows: self.kept.update((r[0], r) for r in rows),
+        }[name]
+
+
+def test_the_state_is_asked_for_the_last_cycle_and_not_for_each_row():
+    """40 cycles of 50 items in one batch, then more of the last one."""
+    processor = digest.DigestState(1, 3)
+    states = {n: Calls() for n in ("cycle", "reported", "seen", "items", "best")}
+    vars(processor).update(states)
+    big = 1 << 60  # places that a double can't hold
+    rows = []
+    for cycle in range(40):
+        rows.append((big + 1000 * cycle, "reset", *[None] * 7))
+        rows += [(big + 1000 * cycle + i, "item", "ab"[i % 2], f"i{i % 40}", "t", "u", 1, "s", float(i)) for i in range(1, 51)]
+        rows.append((big + 1000 * cycle + 99, "done", "a", *[None] * 6))
+    frame = lambda rows: pd.DataFrame(rows, columns=[f.split()[0] for f in digest.EVENT.split(", ")])
+    out = pd.concat(processor.handleInputRows((0,), iter([frame(rows[::-1])]), None))
+    assert sum(s.calls for s in states.values()) < 100
+    kept = out[out["what"] == "kept"]
+    assert list(zip(kept["cycle"], kept["seq"], strict=True)) == [(c + 1, big + 1000 * c + i) for c in range(40) for i in range(1, 41)]
+    assert len(out[out["what"] == "part"]) == 40 * 6 and len(out[out["what"] == "due"]) == 40
+    assert len(states["seen"].kept) == len(states["items"].kept) == 40 and states["cycle"].kept[()] == (40, 1)
+    last = [(big + 40_000, "item", "a", "i7", "t", "u", 1, "s", 99.0), (big + 40_001, "item", "a", "new", "t", "u", 1, "s", 50.0), (big + 40_002, "regenerate", *[None] * 7)]
+    out = pd.concat(processor.handleInputRows((0,), iter([frame(last)]), None))
+    assert list(out[out["what"] == "kept"]["id"]) == ["new"]
+    assert sorted(out[out["what"] == "part"]["score"]) == [35.0, 37.0, 38.0, 39.0, 40.0, 50.0]
