@@ -148,3 +148,22 @@ def test_the_state_is_asked_for_the_last_cycle_and_not_for_each_row():
     out = pd.concat(processor.handleInputRows((0,), iter([frame(last)]), None))
     assert list(out[out["what"] == "kept"]["id"]) == ["new"]
     assert sorted(out[out["what"] == "part"]["score"]) == [35.0, 37.0, 38.0, 39.0, 40.0, 50.0]
+
+
+def counted(total):
+    processor = digest.DigestState(total, 3)
+    states = {n: Calls() for n in ("cycle", "reported", "seen", "items", "best")}
+    vars(processor).update(states)
+    return processor, states
+
+
+def test_due_digests_of_a_batch_are_made_without_the_state():
+    """A cycle of 30 items with a digest after each."""
+    processor, states = counted(1)
+    rows = [row for i in range(30) for row in ((2 * i, "item", "ab"[i % 2], f"i{i}", "t", "u", 1, "s", float(i)), (2 * i + 1, "done", "a", *[None] * 6))]
+    out = pd.concat(processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=[f.split()[0] for f in digest.EVENT.split(", ")])]), None))
+    assert states["best"].calls + states["reported"].calls < 10
+    assert list(out[out["what"] == "due"]["at"]) == list(range(1, 60, 2))
+    for i in range(30):
+        want = [x for first in (0, 1) for x in list(range(first, i + 1, 2))[-3:]]
+        assert sorted(out[(out["what"] == "part") & (out["at"] == 2 * i + 1)]["score"]) == sorted(want)
