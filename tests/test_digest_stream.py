@@ -167,3 +167,14 @@ def test_due_digests_of_a_batch_are_made_without_the_state():
     for i in range(30):
         want = [x for first in (0, 1) for x in list(range(first, i + 1, 2))[-3:]]
         assert sorted(out[(out["what"] == "part") & (out["at"] == 2 * i + 1)]["score"]) == sorted(want)
+
+
+def test_the_state_holds_what_the_last_cycle_left_and_nothing_else_was_written():
+    processor, states = counted(9)
+    rows = [(100 * c + i, "item", "ab"[i % 2], f"c{c}:{i % 20}", "t", "u", 1, "s", 1.0) for c in range(30) for i in range(1, 41)]
+    rows += [(100 * c, "reset", *[None] * 7) for c in range(30)] + [(100 * c + 50, "done", "a", *[None] * 6) for c in range(30)]
+    list(processor.handleInputRows((1,), iter([pd.DataFrame(rows, columns=[f.split()[0] for f in digest.EVENT.split(", ")])]), None))
+    assert states["cycle"].kept[()] == (30, 9) and set(states["reported"].kept) == {("a",)}
+    assert set(states["seen"].kept) == {(f"c29:{i}",) for i in range(20)} and len(states["items"].kept) == 20
+    assert {k: v[:2] for k, v in states["best"].kept.items()} == {("a",): (10, 2902), ("b",): (10, 2901)}
+    assert states["seen"].calls < 20 + 5 and states["items"].calls < 5
