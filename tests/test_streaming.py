@@ -91,3 +91,50 @@ def test_completion_counts_distinct_sources_across_batches(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(log)
         assert jobs.append(jobs.completion(jobs.log(spark, log, schema), 2), out, state).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(out).select("seq", "done", "complete").collect())) == [(1, 1, False), (2, 1, False), (3, 2, True), (4, 1, False)]
+
+
+def plain_places(rows, remembered, before=()):
+    """(source, seq, id, place) of the fresh rows, one row after another."""
+    held, count, out = {}, {}, []
+    for source, name, place in before:
+        held[source, name], count[source] = place, max(place, count.get(source, 0))
+    for source, seq, name in sorted(rows):
+        place = held.get((source, name))
+        if place is None or count[source] - place >= remembered:
+            held[source, name] = count[source] = count.get(source, 0) + 1
+            out.append((source, seq, name, count[source]))
+    return sorted(out)
+
+
+def counted_calls(monkeypatch, name):
+    calls, real = [], getattr(seen, name)
+    monkeypatch.setattr(seen, name, lambda *a, **k: calls.append(a) or real(*a, **k))
+    return calls
+
+
+def test_rounds_do_not_grow_with_chains_of_repeats(spark, monkeypatch):
+    """Ids that come back just after they are forgotten: who is fresh depends on all rows before."""
+    rows = [("a", i, f"i{i % 23}") for i in range(400)] + [("b", i, f"i{i * (i * 7919 % 1500) % 211}") for i in range(400)]
+    jobs_before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = seen.fresh_ids(spark.createDataFrame(rows, "source string, seq long, id string").repartition(4), spark.createDataFrame([], seen.MEMORY), 20)
+    assert sorted(map(tuple, found.select("source", "seq", "id", "place").collect())) == plain_places(rows, 20)
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs_before) < 60
+
+
+def test_blocks_of_a_source_agree_with_the_plain_loop(spark, monkeypatch):
+    rng = random.Random(6)
+    shapes = {
+        "chains": lambda i: rng.randrange(40),
+        "few": lambda i: i % 7,
+        "round": lambda i: i % 11,
+        # Hits that keep an old difference: the memory changes about once in a block.
+        "slow": lambda i: 1000 + i // 60 if i % 60 == 0 else rng.randrange(8),
+        "rare": lambda i: rng.randrange(12) if i % 2 else 0,
+    }
+    rows = [(name, i, f"i{shape(i)}") for name, shape in shapes.items() for i in range(1500)] + [("one", 3, "x"), ("one", 4, "x")]
+    before = [("chains", f"i{i}", 30 + i) for i in range(12)] + [("slow", "i3", 4), ("other", "x", 9)]
+    monkeypatch.setattr(seen, "GROWTH", 3)
+    calls = counted_calls(monkeypatch, "_round")
+    found = seen.fresh_ids(spark.createDataFrame(rows, "source string, seq long, id string").repartition(4), spark.createDataFrame(before, seen.MEMORY), 10, block=60)
+    assert sorted(map(tuple, found.select("source", "seq", "id", "place").collect())) == plain_places(rows, 10, before)
+    assert 2 < len(calls) < 12
